@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sparkloom.plans import aggregates, analytics, filters, joins, placement, projections, text  # noqa: F401  they register themselves
+from sparkloom.plans.registry import ORACLES, QUERIES
+from sparkloom.streaming import events  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
