@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The layouts of the e-commerce files.
-CUSTOMERS = T.StructType.fromDDL(
+CUSTOMERS = (
     "customerNumber long, customerName string, firstName string, lastName string, phone string, addressLine1 string, "
     "city string, state string, country string, creditLimit double, segment string"
 )
-ORDERS = T.StructType.fromDDL(
+ORDERS = (
     "orderNumber long, orderDate date, requiredDate date, status string, customerNumber long, amount double, paymentMethod string"
 )
-RETAIL = T.StructType.fromDDL(
+RETAIL = (
     "InvoiceNo string, StockCode string, Description string, Quantity int, InvoiceDate timestamp, UnitPrice double, CustomerId int, Country string"
 )
 RETAIL_TIME = "M/d/yyyy H:m"
@@ -29,7 +29,7 @@ def read_text(spark: SparkSession, path: str, min_partitions: int | None = None)
     return spark.read.text(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, infer: bool = False, timestamps: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, infer: bool = False, timestamps: str | None = None) -> DataFrame:
     """CSV with a header and proper quoting. An explicit schema saves the pass that inference needs; without either, strings."""
     reader = spark.read.option("header", True)
     if timestamps:
