@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches, texts
 
-RATE = 0.05
+RATE = 0.08
 #: Item text that one scan of the documents takes along.
 ITEM_BYTES = 8 << 20
 #: Text that is searched at once.
