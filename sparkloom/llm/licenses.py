@@ -12,8 +12,7 @@ The templates are a parameter. They go to the executors as they are: their total
 is bounded by MOST_WORDS, more is an error.
 
 Defined results: null and empty texts match nothing; a template shorter than a run
-is one run; matches of one template that overlap in a text are one, the best, then
-the first; repeated rows are reported each time.
+is one run; matches of one template don't overlap, the leftmost counts; repeated rows are reported each time.
 """
 
 from __future__ import annotations
@@ -81,11 +80,11 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     return kept
 
 
-def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND, floor: int = 0) -> tuple[int, int, int]:
     """(matched words, first place, last place) of the best alignment of a template with text words, all in a band about a diagonal.
 
     Longest common subsequence in the band; word i of the template may only meet
-    words shift + i - band to shift + i + band of the text.
+    words shift + i - band to shift + i + band of the text, none before floor.
     """
     width = 2 * band + 1
     before: list[tuple[int, int, int]] = [(0, -1, -1)] * (width + 1)
@@ -96,7 +95,7 @@ def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND
             up = before[d + 1] if d + 1 <= width else (0, -1, -1)  # the text's word j, template word left out
             left = row[-1] if row else (0, -1, -1)
             best = max(up, left, key=lambda x: (x[0], x[1] - x[2]))
-            if 0 <= j < len(text) and text[j] == word:
+            if floor <= j < len(text) and text[j] == word:
                 n, first, _ = before[d]
                 made = (n + 1, first if n else j, j)
                 best = max(best, made, key=lambda x: (x[0], x[1] - x[2]))
@@ -165,21 +164,17 @@ class TemplateIndex:
         places = None
         out = []
         for n, shifts in sorted(by_template.items()):
-            template, made, last = self.templates[n], [], None
+            template, last, floor = self.templates[n], None, 0
             for shift in sorted(shifts):
                 if last is not None and shift - last <= BAND // 2:
                     continue
                 last = shift
-                k, first, end = align(template, found, shift)
-                if k >= coverage * len(template):
-                    made.append((-k, first, end))
-            taken: list[tuple[int, int]] = []
-            for k, first, end in sorted(made):
-                if all(end < a or first > z for a, z in taken):
-                    taken.append((first, end))
+                k, first, end = align(template, found, shift, floor=floor)
+                if k and k >= coverage * len(template):
+                    floor = end + 1
                     if places is None:
                         places = [m.span() for m in _WORD.finditer(text)]
-                    out.append((self.names[n], -k / len(template), -k, places[first][0], places[end][1]))
+                    out.append((self.names[n], k / len(template), k, places[first][0], places[end][1]))
         return sorted(out, key=lambda x: (x[3], x[0]))
 
 

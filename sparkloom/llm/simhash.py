@@ -190,12 +190,12 @@ def links(nodes: DataFrame, limit: int = BITS, bucket: int = BUCKET) -> DataFram
     while True:
         hot = rows.groupBy("mask", "key").count().where(F.col("count") > bucket).select("mask", "key")
         hot = materialise(hot, "hot-buckets")
-        if not hot.head(1) or all(m == FULL for m in masks):
+        if not hot.head(1) or 1 << 64 - masks[0].bit_count() <= bucket:  # so few free bits leave no room for more fingerprints
             break
         cold = rows.join(hot, ["mask", "key"], "left_anti")
         fit = cold if fit is None else fit.unionByName(cold)
         deeper = {m: split_mask(m, limit + 1) for m in masks}
-        masks = sorted({x for v in deeper.values() for x in v})
+        masks = sorted({x for v in deeper.values() for x in v}, key=int.bit_count)
         children = F.create_map(*[x for m, v in deeper.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in v]))])
         rows = rows.join(hot, ["mask", "key"], "left_semi").select("fp", F.explode(children[F.col("mask")]).alias("mask"))
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
