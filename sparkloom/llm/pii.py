@@ -134,7 +134,7 @@ def votes(s: Column) -> dict[str, Column]:
     """Each labeler's vote (1, 0, -1) on a span."""
     body, digits, before = s["body"], F.regexp_replace(s["body"], "[^0-9]", ""), s["before"]
     n = F.length(digits)
-    tld = F.lower(F.regexp_extract(body, r"([A-Za-z]+)$", 1))
+    tld = F.lower(F.regexp_extract(F.right(body, F.lit(24)), r"([A-Za-z]+)$", 1))  # the end only: the pattern is quadratic on a long run
     private = body.rlike(r"^(?:10|127|0|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|22[4-9]|2[3-5][0-9])\.")
     return {
         "pattern": _vote(s["base"]),

@@ -123,7 +123,7 @@ def test_mix(spark):
     taken = sum(r.taken for r in mixed if r.source == "a")
     assert abs(taken - by["a"].target) < 0.1 * by["a"].target
     copies = mixing.emit(mixing.mix(docs)).collect()
-    assert sum(len(r.text.split()) for r in copies) == sum(r.taken for r in mixed)
+    assert sum(len((r.text or "").split()) for r in copies) == sum(r.taken for r in mixed)
     assert sorted(map(str, copies)) == sorted(map(str, mixing.emit(mixing.mix(docs)).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
 
