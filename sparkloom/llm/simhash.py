@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .shared import materialise, small_batches, texts
@@ -204,26 +205,59 @@ def links(nodes: DataFrame, limit: int = BITS, bucket: int = BUCKET) -> DataFram
     return rows.mapInArrow(_bucket_edges(limit), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs."""
+def grouped(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = BITS) -> DataFrame:
+    """(doc_id, fp, component_id, root) of every row of docs; root, the smallest fingerprint of the component, is its own even where two components share their smallest id."""
     prints = materialise(fingerprints(docs, words, seed), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("label"))
     roots = materialise(components(links(nodes.select("fp"), limit)), "roots")
     named = nodes.join(roots, nodes["fp"] == roots["node"]).select("node", "root", "label")
     lowest = named.groupBy("root").agg(F.min("label").alias("low")).withColumnRenamed("root", "r")
-    linked = named.join(lowest, named["root"] == lowest["r"]).select("node", "low")
+    linked = named.join(lowest, named["root"] == lowest["r"]).select("node", "low", "root")
+    found = nodes.join(linked, nodes["fp"] == linked["node"], "left")
+    alone = F.col("root").isNull()
     labels = materialise(
-        nodes.join(linked, nodes["fp"] == linked["node"], "left").select(F.col("fp").alias("k"), F.coalesce("low", "label").alias("component_id")), "labels"
+        found.select(F.col("fp").alias("k"), F.when(alone, F.col("label")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "labels"
     )
-    return prints.join(labels, prints["fp"] == labels["k"]).select("doc_id", "fp", "component_id")
+    return prints.join(labels, prints["fp"] == labels["k"]).select("doc_id", "fp", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of docs."""
+    return grouped(docs, **how).drop("root")
+
+
+def _with_fingerprint(docs: DataFrame, name: str, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """docs with one more column, the fingerprint."""
+    column = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([_signed(fingerprint(t.as_py() or "", words, seed)) for t in batch.column(column)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest id; among rows that repeat this id, one.
+def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = BITS) -> DataFrame:
+    """The rows of docs that stay: of each group one with its smallest id.
 
-    Rows without an id stay: no other row can be told to stand for them.
+    Rows that repeat an id are told apart by what they say: each group that such
+    an id names keeps its own row, the one with the smallest fingerprint, then the
+    smallest hash. Rows without an id stay: no other row can be told to stand for them.
     """
-    keepers = near_duplicates(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    keepers = materialise(keepers, "keepers")
-    stay = docs.join(keepers, docs["doc_id"] == keepers["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = grouped(docs, words, seed, limit).where(F.col("doc_id").isNotNull())
+    names = F.max(F.col("doc_id") == F.col("component_id"))
+    keepers = materialise(rows.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"), names.alias("names")).where("names"), "keepers")
+    once, often = (keepers.where(c).select("kept_id") for c in ("n = 1", "n > 1"))
+    stay = docs.join(once, docs["doc_id"] == once["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    if not often.head(1):
+        return stay
+    chosen = rows.where(F.col("doc_id") == F.col("component_id")).join(often, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    chosen = materialise(chosen.groupBy(F.col("doc_id").alias("kept_id"), "root").agg(F.min("fp").alias("kept_fp")), "chosen")
+    own = next(n for n in map("_fp{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    marked = _with_fingerprint(docs.join(often, docs["doc_id"] == often["kept_id"], "left_semi"), own, words, seed)
+    marked = marked.join(chosen, (marked["doc_id"] == chosen["kept_id"]) & (marked[own] == chosen["kept_fp"]), "left_semi")
+    every = F.struct(*docs.columns)
+    first = F.min_by(every, F.struct(F.md5("text"), F.xxhash64(F.to_json(every))))
+    return stay.unionByName(marked.groupBy(F.col("doc_id").alias("_id"), F.col(own).alias("_own")).agg(first.alias("_row")).select("_row.*"))

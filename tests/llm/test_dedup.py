@@ -94,3 +94,15 @@ def test_odd_rows(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 3, 8, 9]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.where(F.lit(False))).count() == 0
+
+
+def test_repeated_ids_keep_a_row_of_each_group_they_name(spark):
+    one, two, three = ("alpha beta gamma delta", "ten green bottles on a wall", "nothing like the others at all here")
+    rows = [(5, one, "x"), (5, two, "x"), (5, two, "y"), (7, two, "z"), (3, three, "x"), (5, three, "x"), (6, one, "x"), (None, one, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp0 string")
+    want = [(3, three), (5, one), (5, two), (None, one)]
+    for given in (docs, docs.orderBy(F.desc("_fp0"))):
+        kept = simhash.keep_one(given)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: (r[0] or 99, r[1])) == want
+    assert len({tuple(sorted(map(str, simhash.keep_one(d).collect()))) for d in (docs, docs.orderBy(F.desc("_fp0")))}) == 1
