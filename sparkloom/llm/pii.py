@@ -59,6 +59,8 @@ CUES = {
 }
 DOUBTS = "version|ver|release|isbn|issn|order|invoice|serial|section|chapter|figure|page|build"
 CONTEXT = 40
+#: Spans of a text that are placed, or replaced, at once.
+BLOCK = 256
 LABELERS = ("pattern", "structure", "gazetteer", "cue", "doubt")
 OUT = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 _SPAN = "STRUCT<kind: INT, start: INT, stop: INT, base: BOOLEAN, body: STRING, before: STRING>"
@@ -88,7 +90,12 @@ def _valid(kind: int, base: bool) -> str:
 
 
 def _placed(kind: int, base: bool) -> str:
-    """SQL that turns the matches m and the pieces p between them into spans with places."""
+    """SQL that turns the matches m and the pieces p between them into spans with places.
+
+    Places are running sums of lengths. An accumulator that grows by one span is
+    copied at each step, so the matches are taken in blocks: first the lengths of
+    blocks, then each block from its own start.
+    """
     n = kind + 4 * (not base)
     begin = f"acc.at + length(_p{n}[i])"
     span = (
@@ -96,11 +103,12 @@ def _placed(kind: int, base: bool) -> str:
         f"'before', lower(right(_p{n}[i], {CONTEXT})))"
     )
     step = f"named_struct('at', {begin} + length(_m{n}[i]), 'out', concat(acc.out, array({span})))"
-    start = f"named_struct('at', 0, 'out', CAST(array() AS ARRAY<{_SPAN}>))"
-    return (
-        f"CASE WHEN size(_m{n}) > 0 THEN filter(aggregate(sequence(0, size(_m{n}) - 1), {start}, (acc, i) -> {step}, acc -> acc.out), s -> {_valid(kind, base)}) "
-        f"ELSE CAST(array() AS ARRAY<{_SPAN}>) END"
-    )
+    inside = f"sequence({{0}}, least({{0}} + {BLOCK}, size(_m{n})) - 1)"
+    lengths = f"transform(sequence(0, size(_m{n}) - 1, {BLOCK}), b -> aggregate({inside.format('b')}, 0, (a, i) -> a + length(_p{n}[i]) + length(_m{n}[i])))"
+    starts = f"aggregate({lengths}, named_struct('at', 0, 'out', CAST(array() AS ARRAY<INT>)), (acc, x) -> named_struct('at', acc.at + x, 'out', concat(acc.out, array(acc.at))), acc -> acc.out)"
+    first = f"named_struct('at', at, 'out', CAST(array() AS ARRAY<{_SPAN}>))"
+    every = f"flatten(transform({starts}, (at, k) -> aggregate({inside.format(f'(k * {BLOCK})')}, {first}, (acc, i) -> {step}, acc -> acc.out)))"
+    return f"CASE WHEN size(_m{n}) > 0 THEN filter({every}, s -> {_valid(kind, base)}) ELSE CAST(array() AS ARRAY<{_SPAN}>) END"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -263,17 +271,32 @@ def mask(docs: DataFrame, model: dict[str, dict[int, float]]) -> DataFrame:
     Spans that overlap are one, named after the first.
     """
     found = spans(docs, model)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     tag = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     ordered = F.array_sort(F.transform("_all", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(tag, s["kind"]))
-        return F.struct(F.greatest(s["stop"], acc["at"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate(ordered, first, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    found = found.withColumn("_ordered", ordered)
+    text, size = F.col("text"), F.size("_ordered")
+    # where each block of spans ends: the furthest stop so far
+    stops = F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1, F.lit(BLOCK)), lambda b: F.array_max(F.transform(F.slice("_ordered", b + 1, BLOCK), lambda s: s["stop"])))
+    ends = F.aggregate(stops, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x))))
+    found = found.withColumn("_ends", ends)
+
+    def block(k: Column) -> Column:
+        """New text of a block of spans, from the end of the block before to its own end."""
+        start = F.get("_ends", k)
+        piece = text.substr(start + 1, F.get("_ends", k + 1) - start)  # bound once, so that spans are cut from a short text
+        empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def replaced(piece: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                more = F.concat(acc["out"], piece.substr(acc["at"] + 1, s["start"] - start - acc["at"]), F.get(tag, s["kind"]))
+                return F.struct(F.greatest(s["stop"] - start, acc["at"]).alias("at"), F.when(s["start"] - start >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(F.slice("_ordered", k * BLOCK + 1, BLOCK), empty, step, lambda acc: acc["out"])
+
+        return F.get(F.transform(F.array(piece), replaced), F.lit(0))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), block)
+    new = F.concat(F.array_join(pieces, ""), text.substr(F.element_at("_ends", -1) + 1, F.length(text)))
     out = found.withColumn("text", F.when(F.size("_all") > 0, new).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

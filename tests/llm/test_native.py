@@ -61,6 +61,25 @@ def test_loose_spans_and_masking(spark):
     assert pii.report(clash, pii.fit(clash)).count() == 0
 
 
+def test_blocks_of_spans_change_nothing(spark, monkeypatch):
+    """Blocks of two spans, of 256, and a plain replacement agree, overlaps at a block's end included."""
+    texts = ["a@b.c 1.2.3.4@x.y " * 9 + "end", "1.2.3.4@x.y", "+12345678 10.0.0.1@x.y " * 5 + "\U0001f600 \U0001f600 1.1.1.1", *TRICKY, "u@v.w 9.9.9.9, " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(docs)
+    answers = []
+    for size in (2, 256):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        answers.append(([r.spans for r in pii.report(docs, model).orderBy("doc_id").collect()], [r.text for r in pii.mask(docs, model).orderBy("doc_id").collect()]))
+    assert answers[0] == answers[1]
+    for text, listed, masked in zip(texts, *answers[0]):
+        at, want = 0, ""
+        for start, stop, kind in sorted((int(a), int(z), pii.KINDS.index(k)) for k, a, z in (x.split(":") for x in listed.split(",") if x)):
+            if start >= at:
+                want += text[at:start] + f"<{pii.KINDS[kind].upper()}>"
+            at = max(at, stop)
+        assert masked == (None if text is None else want + text[at:])
+
+
 def test_expectation_maximisation_trusts_what_agrees():
     names = pii.LABELERS
     rows = [dict(zip(names, v)) | {"kind": 0, "length": 3, "form": 2, "n": n} for v, n in (((1, 1, 1, 0, 0), 500), ((0, -1, -1, 0, -1), 300), ((1, 1, -1, 0, 0), 20), ((0, -1, 1, 0, 0), 20))]
