@@ -250,7 +250,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int =
     names = F.max(F.col("doc_id") == F.col("component_id"))
     keepers = materialise(rows.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"), names.alias("names")).where("names"), "keepers")
     once, often = (keepers.where(c).select("kept_id") for c in ("n = 1", "n > 1"))
-    stay = docs.join(once, docs["doc_id"] == once["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    # keepers grow with the documents: never broadcast, one plan at every size
+    stay = docs.join(once.hint("merge"), docs["doc_id"] == once["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     if not often.head(1):
         return stay
     chosen = rows.where(F.col("doc_id") == F.col("component_id")).join(often, F.col("doc_id") == F.col("kept_id"), "left_semi")
