@@ -122,8 +122,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     out = out.withColumns({f"_p{n}": F.expr(f"CASE WHEN size(_m{n}) > 0 THEN split(text, {_sql(p)}, -1) ELSE CAST(array() AS ARRAY<STRING>) END") for n, p in enumerate(BASE + LOOSE)})
     out = out.withColumn("_base", F.expr(f"concat({', '.join(_placed(k, True) for k in range(4))})"))
     out = out.withColumn("_near", F.expr(f"concat({', '.join(_placed(k, False) for k in range(4))})"))
-    out = out.withColumn("_loose", F.expr("filter(_near, s -> NOT exists(_base, b -> s.start < b.stop AND b.start < s.stop))"))
-    return out.drop("_near", *(f"_{x}{n}" for x in "mp" for n in range(8))).withColumn("text", F.col("_text")).drop("_text")
+    # base spans ascend within a kind: a loose one is compared with the reach of each block, and with the spans of the few blocks that it touches
+    blocks = f"transform(sequence(1, size(_base), {BLOCK}), b -> named_struct('b', slice(_base, b, {BLOCK})))"
+    reach = "transform({}, x -> named_struct('b', x.b, 'start', array_min(transform(x.b, y -> y.start)), 'stop', array_max(transform(x.b, y -> y.stop))))"
+    out = out.withColumn("_reach", F.expr(f"CASE WHEN size(_base) > 0 AND size(_near) > 0 THEN {reach.format(blocks)} END"))
+    meets = "s.start < {0}.stop AND {0}.start < s.stop"
+    touched = f"exists(_reach, r -> {meets.format('r')} AND exists(r.b, b -> {meets.format('b')}))"
+    out = out.withColumn("_loose", F.expr(f"CASE WHEN _reach IS NULL THEN _near ELSE filter(_near, s -> NOT {touched}) END"))
+    return out.drop("_near", "_reach", *(f"_{x}{n}" for x in "mp" for n in range(8))).withColumn("text", F.col("_text")).drop("_text")
 
 
 def _by_kind(s: Column, cases: dict[str, Column]) -> Column:

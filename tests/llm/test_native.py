@@ -80,6 +80,18 @@ def test_blocks_of_spans_change_nothing(spark, monkeypatch):
         assert masked == (None if text is None else want + text[at:])
 
 
+def test_loose_spans_that_touch_base_ones_go(spark, monkeypatch):
+    """The blocks of base spans leave out what comparing all pairs leaves out."""
+    texts = ["555-123-4567@x.y 555-123-4567, " * 40, "555-123-4567", "a@b.c " * 9 + "(555) 123-4567 555-123-4567@x.y 10.0.0.1", *TRICKY]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (2, 256):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        kept = {r.doc_id: [(s.start, s.stop) for s in r._loose] for r in pii.candidates(docs).collect()}
+        base = {r.doc_id: [(s.start, s.stop) for s in r._base] for r in pii.candidates(docs).collect()}
+        assert [len(kept[n]) for n in range(3)] == [40, 1, 1]
+        assert not any(a < z and b < y for n in kept for a, y in kept[n] for b, z in base[n])
+
+
 def test_expectation_maximisation_trusts_what_agrees():
     names = pii.LABELERS
     rows = [dict(zip(names, v)) | {"kind": 0, "length": 3, "form": 2, "n": n} for v, n in (((1, 1, 1, 0, 0), 500), ((0, -1, -1, 0, -1), 300), ((1, 1, -1, 0, 0), 20), ((0, -1, 1, 0, 0), 20))]
