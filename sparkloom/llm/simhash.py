@@ -21,7 +21,7 @@ component only if it has no other id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -206,10 +206,15 @@ def links(nodes: DataFrame, limit: int = BITS, bucket: int = BUCKET) -> DataFram
 
 
 def grouped(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id, root) of every row of docs; root, the smallest fingerprint of the component, is its own even where two components share their smallest id."""
+    """(doc_id, fp, component_id, root) of every row of docs."""
     prints = materialise(fingerprints(docs, words, seed), "fingerprints")
+    return named(prints, links(prints.select("fp").distinct(), limit))
+
+
+def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, root) of every row of prints; root, the smallest fingerprint of the component, is its own even where two components share their smallest id."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("label"))
-    roots = materialise(components(links(nodes.select("fp"), limit)), "roots")
+    roots = materialise(components(edges), "roots")
     named = nodes.join(roots, nodes["fp"] == roots["node"]).select("node", "root", "label")
     lowest = named.groupBy("root").agg(F.min("label").alias("low")).withColumnRenamed("root", "r")
     linked = named.join(lowest, named["root"] == lowest["r"]).select("node", "low", "root")
@@ -226,14 +231,14 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return grouped(docs, **how).drop("root")
 
 
-def _with_fingerprint(docs: DataFrame, name: str, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """docs with one more column, the fingerprint."""
+def _with_fingerprint(docs: DataFrame, name: str, mark: Callable[[str], int]) -> DataFrame:
+    """docs with one more column, what mark says of the text."""
     column = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([_signed(fingerprint(t.as_py() or "", words, seed)) for t in batch.column(column)], pa.int64())
+            found = pa.array([mark(t.as_py() or "") for t in batch.column(column)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
@@ -246,7 +251,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int =
     an id names keeps its own row, the one with the smallest fingerprint, then the
     smallest hash. Rows without an id stay: no other row can be told to stand for them.
     """
-    rows = grouped(docs, words, seed, limit).where(F.col("doc_id").isNotNull())
+    return kept(docs, grouped(docs, words, seed, limit), lambda text: _signed(fingerprint(text, words, seed)))
+
+
+def kept(docs: DataFrame, rows: DataFrame, mark: Callable[[str], int]) -> DataFrame:
+    """keep_one for the groups that rows name; mark is their fp, of a text."""
+    rows = rows.where(F.col("doc_id").isNotNull())
     names = F.max(F.col("doc_id") == F.col("component_id"))
     keepers = materialise(rows.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"), names.alias("names")).where("names"), "keepers")
     once, often = (keepers.where(c).select("kept_id") for c in ("n = 1", "n > 1"))
@@ -257,7 +267,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int =
     chosen = rows.where(F.col("doc_id") == F.col("component_id")).join(often, F.col("doc_id") == F.col("kept_id"), "left_semi")
     chosen = materialise(chosen.groupBy(F.col("doc_id").alias("kept_id"), "root").agg(F.min("fp").alias("kept_fp")), "chosen")
     own = next(n for n in map("_fp{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
-    marked = _with_fingerprint(docs.join(often, docs["doc_id"] == often["kept_id"], "left_semi"), own, words, seed)
+    marked = _with_fingerprint(docs.join(often, docs["doc_id"] == often["kept_id"], "left_semi"), own, mark)
     marked = marked.join(chosen, (marked["doc_id"] == chosen["kept_id"]) & (marked[own] == chosen["kept_fp"]), "left_semi")
     every = F.struct(*docs.columns)
     first = F.min_by(every, F.struct(F.md5("text"), F.xxhash64(F.to_json(every))))
