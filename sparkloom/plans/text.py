@@ -12,7 +12,18 @@ from sparkloom.sources.tables import Tables
 
 @query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents WHERE lang = 'en') WHERE w <> '' GROUP BY w ORDER BY n DESC, w")
 def word_count(t: Tables) -> DataFrame:
-    each = t.documents.where(F.col("lang") == "en").select(F.explode(words(F.lower("text"))).alias("word"))
+    """English documents only, as its SQL says; word_count_all counts every line."""
+    return _counted(t.documents.where(F.col("lang") == "en"))
+
+
+@query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w ORDER BY n DESC, w")
+def word_count_all(t: Tables) -> DataFrame:
+    """The words of all lines, whatever their language."""
+    return _counted(t.documents)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    each = docs.select(F.explode(words(F.lower("text"))).alias("word"))
     return each.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word")
 
 
