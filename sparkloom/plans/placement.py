@@ -31,11 +31,12 @@ def salted_hot_only(t: Tables) -> DataFrame:
 
 @query(_BY_LANG)
 def hot_cold_union(t: Tables) -> DataFrame:
-    """Hot keys salted, cold ones summed plainly, both together."""
+    """Hot keys salted, cold ones (a null key with them) summed plainly, both together."""
     rows = t.documents.select("doc_id", "lang", "n_chars")
     hot = [r.lang for r in layout.hot_keys(rows, "lang", rows.count() // 4).collect()]
-    warm = layout.salted_sum(rows.where(F.col("lang").isin(hot)), "lang", "n_chars", F.col("doc_id"))
-    cold = rows.where(~F.col("lang").isin(hot)).groupBy("lang").agg(F.sum("n_chars").alias("total"))
+    is_hot = F.coalesce(F.col("lang").isin(hot), F.lit(False))
+    warm = layout.salted_sum(rows.where(is_hot), "lang", "n_chars", F.col("doc_id"))
+    cold = rows.where(~is_hot).groupBy("lang").agg(F.sum("n_chars").alias("total"))
     return warm.unionByName(cold)
 
 
