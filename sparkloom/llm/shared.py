@@ -1,47 +1,138 @@
-"""Helpers that several operators use: shared scratch tables, small Arrow batches."""
+"""Helpers that several operators use: shared scratch tables, fresh column names, labelled samples."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of text that reach a Python worker at once.
-ARROW_ROWS = 512
-ARROW_BYTES = "16m"
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
+_watched: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); where none is set, as in tests, a temporary one is set."""
+    """The folder that the cluster shares (spark.checkpoint.dir).
+
+    Where none is set, a session in one process, as in tests, gets a temporary
+    one; on a cluster that is an error, as executors don't see each other's disks.
+    """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="sparkloom-checkpoints-")
         context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder of scratch tables; what is left of it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}"
+    if path not in _watched:
+        _watched.add(path)
+        where, files = _file_system(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation of what came
     before, and gives the planner the table's true size, by which it decides
-    whether a side may be broadcast.
+    whether a side may be broadcast. release() deletes it, as does the end of temporary().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.scratch_path = path
+    held = _held.get()
+    if held is not None:
+        held.append(made)
+    return made
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialise() wrote and nothing reads any more."""
+    for made in tables:
+        path = made.__dict__.pop("scratch_path", None) if made is not None else None
+        if path:
+            delete(made.sparkSession, path)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Delete, at the end, what materialise() has written inside."""
+    token = _held.set([])
+    try:
+        yield
+    finally:
+        release(*_held.get())
+        _held.reset(token)
+
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names like those given that none of `taken` equals, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        found, n = name, 0
+        while found.lower() in used:
+            found, n = f"{name}_{n}", n + 1
+        used.add(found.lower())
+        out.append(found)
+    return out
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch holds, so that a Python worker's memory doesn't grow with the rows of a partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+def own(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and quotes in it meaning nothing."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """All columns of df but those named."""
+    return [own(df, c) for c in df.columns if c not in but]
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one, so that names made beside it clash with none of them."""
+    return F.struct(*columns(df)).alias("row")
+
+
+def unpacked(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df out of `row`, but those named."""
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c not in but]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """many joined with the row of one that has the same key, a key's rows being dealt over `salts` tasks.
+
+    one has a row for each key at most; it is repeated once for each salt, so no
+    key, however many rows of many it has, meets in one task.
+    """
+    salt, other, theirs = fresh([*many.columns, *one.columns], "salt", "other_salt", "other_key")
+    dealt = many.withColumn(salt, F.pmod(F.xxhash64(*columns(many)), F.lit(salts)))
+    copies = one.withColumnRenamed(key, theirs).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, (dealt[key] == copies[theirs]) & (dealt[salt] == copies[other])).drop(salt, other, theirs)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
@@ -56,22 +147,30 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """At most per_class documents of either label, with text and label; held-out ids never.
+    """(doc_id, text, label): at most per_class documents of either label; held-out ids never.
 
-    The sample is the per_class ids with the smallest hashes: the same at each
-    run. It is a bounded table (two times per_class ids), so it may be broadcast.
+    First the per_class ids of either label with the smallest hashes; an id may
+    have many rows, so of their different texts the first per_class of either
+    label count, in order of hashes. The same at each run. Only ids and hashes,
+    at most 2 * per_class rows, are ever broadcast; rows that repeat id and text
+    are one.
     """
     known = (
-        labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
+        labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
+        .distinct()
         .withColumn("h", F.xxhash64("doc_id"))
     )
-    parts = [
-        known.where(F.col("label") == k).orderBy("h", "doc_id").limit(per_class).select("doc_id", "label").distinct()
-        for k in (0, 1)
-    ]
-    chosen = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        parts = [rows.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
+        return parts[0].unionByName(parts[1])
+
+    ids = first(known, "h", "doc_id")
+    found = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = found.drop("text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "h", "t").distinct()
+    chosen = first(rows, "h", "doc_id", "t").select("doc_id", "label", "t")
+    return found.join(F.broadcast(chosen), ["doc_id", "t"]).groupBy("doc_id", "label", "t").agg(F.first("text").alias("text")).select("doc_id", "text", "label")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,27 +1,38 @@
 """Toxicity from a factorization machine over hashed terms.
 
-score = sigmoid(b + sum w_i + sum over pairs of v_i . v_j) over the terms present
-in a text: its words and the first four and five letters of each (insults take
-endings in many languages). The pair term lets two terms count together that
-mean nothing apart, such as an insult and a mention of a group.
-
-Terms are hashed to BUCKETS places. Fitting takes a bounded sample (PER_CLASS
-documents of either label); a place enters the machine only if its presence
-differs between the classes by more than Z standard deviations, so the thousands
-of neutral terms of a long text add no noise. A logistic map, fitted with the
-sample's classes at the rates of the label table, gives the score.
-
-Defined results: a null or empty text has no terms and gets the score of none;
-if the labels lack a class, every score is the smoothed share of label 1; rows
-that repeat an id are scored one by one; columns other than doc_id and text are
-not read.
+score = sigmoid(b + sum w_i x_i + sum over pairs of v_i . v_j y_i y_j) over the
+terms present in a text: its words, the first four and five letters of each
+(insults take endings in many languages), and marks of prefixes that two, or
+three, different words of the text share. The pair term lets two terms count
+together that mean nothing apart, such as an insult and a mention of a group.
+
+Terms are hashed to BUCKETS places. Fitting takes a bounded sample of rows
+(PER_CLASS documents of either label). Document frequencies of places are counted
+on the executors, per class; the machine holds those in MIN_DOCS documents and
+MIN_SHARE of either class at least, PLACES of them at most, the most frequent
+in their class first. Frequency alone chooses, so a term as common in clean as in
+toxic texts takes part, and the machine may find that it matters in a pair. What
+a place weighs grows smoothly with the difference between the classes: x_i for
+itself, y_i, never below FLOOR, in pairs. A logistic map fitted on logits of folds that
+the machine wasn't trained on gives the score.
+
+What reaches the driver is a bit for each place and document of the sample: 2 *
+PER_CLASS * PLACES bits, whatever the length of texts.
+
+Defined results: a null or empty text has no terms and gets the score of none; of
+very long texts every word counts; equal texts get equal scores, so ties and
+repeated rows are scored one by one alike; if the labels lack a class, every
+score is the smoothed share of label 1; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -29,41 +40,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, labelled_sample, small_batches, texts
+from .shared import held_out, labelled_sample, materialise, release, texts
 
 PER_CLASS = 3000
 BUCKETS = 1 << 22
+#: Places of the machine, and what a place needs to be one of them.
+PLACES = 4096
+MIN_DOCS = 3
+MIN_SHARE = 0.01
+#: Standard deviations of class difference at which a place has its full weight; least weight in pairs.
+FULL = 5.0
+FLOOR = 0.1
 FACTORS = 4
-Z = 5.0
+#: Steps of training, documents of a step, folds of calibration.
+STEPS = 200
+BATCH = 512
+FOLDS = 4
+RIDGE_W, RIDGE_V = 1e-3, 2e-3
 THRESHOLD = 0.3
 _TRIM = ".,;:!?\"'()[]{}*#&%$|"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 18)
 def word_terms(word: str) -> tuple[int, ...]:
-    """Hashed terms of a lower-case word."""
-    word = word.strip(_TRIM)
+    """Places of a lower-case word and of its first four and five letters; each kind hashes with a seed of its own."""
     if not word:
         return ()
-    found = [f"w{word}"]
-    if len(word) > 4:
-        found.append(f"4{word[:4]}")
-    if len(word) > 5:
-        found.append(f"5{word[:5]}")
-    return tuple(crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in found)
+    found = [crc32(word.encode("utf-8", "surrogatepass"), 1) % BUCKETS]
+    found += [crc32(word[:k].encode("utf-8", "surrogatepass"), k) % BUCKETS for k in (4, 5) if len(word) > k]
+    return tuple(found)
+
+
+def shared_places(prefix: int) -> tuple[int, int]:
+    """Places that say that two, three words of a text share the prefix of a place."""
+    return (prefix * 31 + 7) % BUCKETS, (prefix * 31 + 11) % BUCKETS
 
 
 def terms(text: str) -> set[int]:
     """Hashed terms that occur in a text."""
-    out: set[int] = set()
-    for word in set(text.lower().split()):
-        out.update(word_terms(word))
+    found = [word_terms(w) for w in {w.strip(_TRIM) for w in text.lower().split()}]
+    out = set(chain.from_iterable(found))
+    for prefix, n in Counter(chain.from_iterable(f[1:] for f in found)).items():
+        if n > 1:
+            out.update(shared_places(prefix)[: n - 1])
     return out
 
 
 @dataclass
 class Machine:
-    """Places in order, their weights and factors, the bias, and the logistic map to the score."""
+    """Places in order, weights and factors with their scales folded in, the bias, and the logistic map to the score."""
 
     places: np.ndarray
     w: np.ndarray
@@ -74,9 +99,10 @@ class Machine:
 
     def __post_init__(self):
         self.slot = {int(p): i for i, p in enumerate(self.places)}
+        self.known = set(self.slot)
 
     def logit(self, found: set[int]) -> float:
-        at = [self.slot[t] for t in found if t in self.slot]
+        at = sorted(self.slot[t] for t in found & self.known)  # in order: the same sum for equal texts
         if not at:
             return self.bias
         v = self.v[at]
@@ -87,55 +113,49 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(terms(text)) + self.shift, -30, 30))))
 
 
-def select_places(documents: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Places whose presence differs between the classes by more than Z standard deviations."""
-    n = [sum(y == k for _, y in documents) for k in (0, 1)]
-    seen = [np.concatenate([np.zeros(0, np.int64), *(x for x, y in documents if y == k)]) for k in (0, 1)]
-    places, at = np.unique(np.concatenate(seen), return_inverse=True)
-    one = np.bincount(at[len(seen[0]) :], minlength=len(places))
-    zero = np.bincount(at[: len(seen[0])], minlength=len(places))
-    p = (zero + one + 1) / (n[0] + n[1] + 2)
-    z = (one / n[1] - zero / n[0]) / np.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]))
-    return places[np.abs(z) > Z] if (np.abs(z) > Z).any() else places[np.argsort(-np.abs(z), kind="stable")[:64]]
+def scales(one: np.ndarray, zero: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """How much places weigh alone and in pairs, from their document frequencies in both classes."""
+    p = (one + zero + 1) / (n1 + n0 + 2)
+    z = (one / max(1, n1) - zero / max(1, n0)) / np.sqrt(p * (1 - p) * (1 / max(1, n1) + 1 / max(1, n0)))
+    alone = np.minimum(1.0, (z / FULL) ** 2)
+    return alone, np.maximum(alone, FLOOR)
 
 
-def train(documents: list[tuple[np.ndarray, int]], share: float, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, ridge: float = 1e-4, size: int = 64) -> Machine:
-    """Fit by minibatch Adagrad on the logistic loss; share is the rate of label 1 among all labels."""
-    places = select_places(documents)
-    rows = [(np.flatnonzero(np.isin(places, x, assume_unique=True)), y) for x, y in documents]
+def train(bits: np.ndarray, labels: np.ndarray, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, float]:
+    """(w, v, bias) by Adam on the logistic loss, BATCH documents a step; bits are the documents' places, packed. No factors make it additive."""
+    n, d = len(bits), bits.shape[1] * 8
+    counts = [sum((np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64) for part in np.array_split(bits[labels == k], 1 + n // BATCH)), np.zeros(d, np.int64)) for k in (1, 0)]
+    alone, paired = (s.astype(np.float32) for s in scales(*counts, int((labels == 1).sum()), int((labels == 0).sum())))
     rng = np.random.default_rng(7)
-    w, v, bias = np.zeros(len(places)), rng.normal(0, 0.05, (len(places), factors)), 0.0
-    gw, gv, gb = np.full(len(places), 1e-6), np.full((len(places), factors), 1e-6), 1e-6
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), size):
-            part = [rows[i] for i in order[at : at + size]]
-            doc = np.repeat(np.arange(len(part)), [len(x) for x, _ in part])
-            term = np.concatenate([x for x, _ in part])
-            y = np.array([y for _, y in part], float)
-            sums, squares, linear = np.zeros((len(part), factors)), np.zeros((len(part), factors)), np.zeros(len(part))
-            np.add.at(sums, doc, v[term])
-            np.add.at(squares, doc, v[term] ** 2)
-            np.add.at(linear, doc, w[term])
-            p = 1 / (1 + np.exp(-np.clip(bias + linear + 0.5 * (sums**2 - squares).sum(axis=1), -30, 30)))
-            g = (p - y) / len(part)
-            dw, dv = np.zeros_like(w), np.zeros_like(v)
-            np.add.at(dw, term, g[doc])
-            np.add.at(dv, term, g[doc, None] * (sums[doc] - v[term]))
-            used = np.unique(term)
-            dw[used] += ridge * w[used]
-            dv[used] += ridge * v[used]
-            gw[used] += dw[used] ** 2
-            gv[used] += dv[used] ** 2
-            w[used] -= rate * dw[used] / np.sqrt(gw[used])
-            v[used] -= rate * dv[used] / np.sqrt(gv[used])
-            gb += g.sum() ** 2
-            bias -= rate * g.sum() / gb**0.5
-    machine = Machine(places, w, v, bias)
-    x = np.array([machine.logit(set(d.tolist())) for d, _ in documents])
-    y = np.array([k for _, k in documents])
-    machine.slope, machine.shift = calibrate(x, y, share)
-    return machine
+    w, v = np.zeros(d, np.float32), rng.normal(0, 0.05, (d, factors)).astype(np.float32)
+    bias = np.array([np.log(((labels == 1).sum() + 1) / ((labels == 0).sum() + 1))], np.float32)
+    state = [(x, np.zeros_like(x), np.zeros_like(x)) for x in (w, v, bias)]
+    order: list[int] = []
+    for step in range(1, steps + 1):
+        if len(order) < min(BATCH, n):
+            order += rng.permutation(n).tolist()
+        part, order = order[:BATCH], order[BATCH:]
+        x = np.unpackbits(bits[part], axis=1).astype(np.float32)
+        y, xw, xv = labels[part].astype(np.float32), x * alone, x * paired
+        sums, square = xv @ v, xv * xv
+        logit = bias + xw @ w + 0.5 * ((sums * sums).sum(axis=1) - (square @ (v * v)).sum(axis=1))
+        g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(part)
+        slopes = (xw.T @ g + RIDGE_W * w, xv.T @ (g[:, None] * sums) - (square.T @ g)[:, None] * v + RIDGE_V * v, g.sum(keepdims=True))
+        for (value, m, s), slope in zip(state, slopes):
+            m += 0.1 * (slope - m)
+            s += 0.01 * (slope * slope - s)
+            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    return w * alone, v * paired[:, None], float(bias[0])
+
+
+def logits(bits: np.ndarray, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    """The machine's logits of packed documents."""
+    w, v, bias = model
+    out = [np.zeros(0)]
+    for at in range(0, len(bits), BATCH):
+        x = np.unpackbits(bits[at : at + BATCH], axis=1).astype(np.float32)
+        out.append(bias + x @ w + 0.5 * (((x @ v) ** 2).sum(axis=1) - x @ (v * v).sum(axis=1)))
+    return np.concatenate(out)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 80, ridge: float = 1e-2) -> tuple[float, float]:
@@ -151,27 +171,70 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 80, ridg
     return float(a), float(b)
 
 
-def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def machine_of(places: np.ndarray, bits: np.ndarray, labels: np.ndarray, share: float, factors: int = FACTORS) -> Machine:
+    """The machine of all documents, calibrated on logits from folds it was not trained on; share is the rate of label 1 among all labels."""
+    fold = np.empty(len(labels), np.int64)
+    for k in (0, 1):  # each class is dealt evenly
+        fold[labels == k] = np.arange((labels == k).sum()) % FOLDS
+    left_out = np.zeros(len(labels))
+    for k in range(FOLDS):
+        if len(set(labels[fold != k].tolist())) == 2:
+            left_out[fold == k] = logits(bits[fold == k], train(bits[fold != k], labels[fold != k], factors))
+    w, v, bias = train(bits, labels, factors)
+    machine = Machine(places, w[: len(places)], v[: len(places)], bias)
+    machine.slope, machine.shift = calibrate(left_out, labels, share)
+    return machine
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.array(sorted(terms(t)), np.int32).tobytes() for t in texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary()), batch.column(2).cast(pa.int32())], ["doc_id", "terms", "label"])
+        found = [sorted(terms(t)) for t in texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["label", "terms"])
+
+
+def choose(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
+    """Places of the machine from (label, terms), at most PLACES, in order; sizes are the documents of either label."""
+    n = [F.count_if(F.col("label") == k) for k in (0, 1)]
+    counts = sample.select("label", F.explode("terms").alias("place")).groupBy("place").agg(n[0].alias("n0"), n[1].alias("n1"))
+    share = F.greatest(F.col("n0") / max(1, sizes.get(0, 0)), F.col("n1") / max(1, sizes.get(1, 0)))
+    often = counts.where(F.col("n0") + F.col("n1") >= MIN_DOCS).select("place", share.alias("share")).where(F.col("share") >= MIN_SHARE)
+    return np.array(sorted(r["place"] for r in often.orderBy(F.desc("share"), "place").limit(PLACES).collect()), np.int64)
+
+
+def packed(sample: DataFrame, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, labels) of (label, terms), the rows in an order of their own."""
+    width = max(1, -(-len(places) // 8)) * 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for found in batch.column(1):
+                row = np.zeros(width, np.bool_)
+                row[: len(places)] = np.isin(places, found.values.to_numpy(), assume_unique=True)
+                rows.append(np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "bits"])
+
+    rows = sorted((r["label"], bytes(r["bits"])) for r in sample.mapInArrow(run, "label int, bits binary").collect())
+    return np.array([np.frombuffer(b, np.uint8) for _, b in rows]), np.array([y for y, _ in rows])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Machine | float:
     """The machine, from a sample of at most 2 * per_class documents; the share of label 1 if there is only one class."""
-    small_batches(docs.sparkSession)
-    counts = {r.k: r.n for r in labels.where(~held_out()).groupBy(F.col("toxic").cast("int").alias("k")).agg(F.count("*").alias("n")).where("k IN (0, 1)").collect()}
+    counts = {r["k"]: r["n"] for r in labels.where(~held_out()).groupBy(F.col("toxic").cast("int").alias("k")).agg(F.count("*").alias("n")).where("k IN (0, 1)").collect()}
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    rows = labelled_sample(docs, labels, "toxic", per_class).select("doc_id", "text", "label").mapInArrow(_train_rows, "doc_id long, terms binary, label int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, r.terms))
-    if len({r.label for r in rows}) < 2:
+    sample = materialise(labelled_sample(docs, labels, "toxic", per_class).select("label", "text").mapInArrow(_terms, "label int, terms array<int>"), "toxicity-sample")
+    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        release(sample)
         return share
-    return train([(np.frombuffer(r.terms, np.int32).astype(np.int64), r.label) for r in rows], share)
+    places = choose(sample, sizes)
+    bits, known = packed(sample, places)
+    release(sample)
+    return machine_of(places, bits, known, share)
 
 
 def score(docs: DataFrame, model: Machine | float) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
