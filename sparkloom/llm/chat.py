@@ -1,11 +1,16 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a JSON object of one of several layouts: messages with role and
-content, conversations with from and value, turns, instruction with input and
-output, prompt with response. The nested field paths of a record (names, arrays
-and objects, no types) are hashed; the hash selects a declarative mapping from
-the registry, which converts the record into canonical turns (role, text). A
-record of an unknown layout keeps its fingerprint and gets no turns.
+content, conversations with from and value, turns, a nested dialogue, instruction
+with input and output, prompt with response. The nested field paths of a record
+(names through objects and arrays at any depth, no types) are hashed; the hash
+selects a declarative mapping from the registry, which converts the record into
+canonical turns (role, text). A record of an unknown layout keeps its paths and
+fingerprint and gets no turns.
+
+Paths are read from the record's brackets and keys alone, string values being cut
+out first, so a long text costs one pass and no depth or length is too much. The
+JSON reader's limit on strings is lifted to what a Spark string can hold.
 
 Canonical turns are rendered with a template that marks each turn,
 
@@ -16,9 +21,11 @@ two characters \\. after its first one. The loss mask is a list of code-point
 spans of the rendered text that hold the assistants' texts.
 
 Defined results: a null text or role is empty; turns sort by number, nulls first,
-then role and text; repeated rows stay; a record without turns renders as the
-empty text; roles of other layouts' names (human, gpt, bot, model) become user
-and assistant, other roles stay.
+then role and text, so ties have one order; repeated rows stay; texts of any
+length are kept whole; a record without turns, one that is null, and one that is
+no JSON render as the empty text; roles of other layouts' names (human, gpt, bot,
+model) become user and assistant, other roles stay; an empty table gives an empty
+result; other columns are kept, those named like a result column replaced.
 """
 
 from __future__ import annotations
@@ -30,19 +37,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh, own
+
 ASSISTANT = "assistant"
 #: Role names of the layouts and what they are called here.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 BEGIN, MIDDLE, END = "[INST] ", " [/INST]", "</s>"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 TURNS = "array<struct<role:string,text:string>>"
+#: The JSON reader refuses longer strings; the most that an array of bytes can hold.
+_JSON = {"maxStringLen": str((1 << 31) - 1)}
+#: Turns whose spans are placed at once.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
 class Layout:
     """A kind of record: its field paths, those of them that may be missing, and how it becomes turns.
 
-    `turns` names an array and its role and text fields; `fields` lists (role, path) of single texts instead.
+    `turns` names the path of an array and the role and text fields of its items;
+    `fields` lists (role, path) of single texts instead. A path goes through
+    objects with dots; `a[].b` is field b of the objects in array a. `written`
+    says what the layout calls roles, where it has names of its own.
     """
 
     name: str
@@ -50,23 +66,35 @@ class Layout:
     optional: tuple[str, ...] = ()
     turns: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
+    written: tuple[tuple[str, str], ...] = ()
 
 
 #: The declarative registry.
 LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), ("messages[].name",), ("messages", "role", "content")),
-    Layout("sharegpt", ("conversations[].from", "conversations[].value"), (), ("conversations", "from", "value")),
+    Layout("sharegpt", ("conversations[].from", "conversations[].value"), (), ("conversations", "from", "value"), (), (("user", "human"), ("assistant", "gpt"))),
     Layout("turns", ("turns[].role", "turns[].text"), ("turns[].turn",), ("turns", "role", "text")),
+    Layout("dialogue", ("data.dialogue.items[].speaker", "data.dialogue.items[].utterance"), ("data.id",), ("data.dialogue.items", "speaker", "utterance")),
     Layout("instruction", ("instruction", "output"), ("input", "system"), None, (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("prompt", ("prompt", "response"), ("system",), None, (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    Layout("nested_prompt", ("data.prompt", "data.response"), ("data.system",), None, (("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.response"))),
     Layout("completion", ("completion", "prompt"), (), None, (("user", "prompt"), ("assistant", "completion"))),
     Layout("question", ("answer", "question"), ("context",), None, (("user", "context"), ("user", "question"), ("assistant", "answer"))),
 )
 
 
+def with_parents(paths: tuple[str, ...]) -> set[str]:
+    """Paths and those of the fields that they go through."""
+    out: set[str] = set()
+    for path in paths:
+        parts = path.split(".")
+        out.update(".".join(parts[: n + 1]).removesuffix("[]") for n in range(len(parts)))
+    return out
+
+
 def path_hash(paths: tuple[str, ...]) -> str:
     """Fingerprint of a set of field paths."""
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(with_parents(paths))).encode()).hexdigest()[:16]
 
 
 def variants(layout: Layout) -> list[tuple[str, ...]]:
@@ -75,35 +103,65 @@ def variants(layout: Layout) -> list[tuple[str, ...]]:
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted paths of the fields of a JSON record, at most one array of objects deep.
+    """Sorted paths of all fields of a JSON record, at any depth.
 
-    A field of a list of objects counts if any of them has it.
+    What is left of the record without its string values is brackets and keys; a
+    stack of paths follows them. A field of a list of objects counts if any of them
+    has it.
     """
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit("~")), F.lit('\\"'), F.lit("~"))
+    keys = F.regexp_replace(plain, r'("[^"]*+"\s*+:)|"[^"]*+"', "$1")
+    tokens = F.regexp_extract_all(keys, F.lit(r'"[^"]*+"|[{}\[\]]'), F.lit(0))
+    none = F.array().cast("array<string>")
+    first = F.struct(none.alias("stack"), F.lit("").alias("last"), none.alias("paths"))
+
+    def step(acc: Column, token: Column) -> Column:
+        stack, last = acc["stack"], acc["last"]
+        top = F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(""))
+        opens, closes = token.isin("{", "["), token.isin("}", "]")
+        key = F.concat(F.when(top == "", "").otherwise(F.concat(top, F.lit("."))), token.substr(F.lit(2), F.length(token) - 2))
+        is_key = ~opens & ~closes
+        return F.struct(
+            F.when(opens, F.concat(stack, F.array(last))).when(closes, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(stack).alias("stack"),
+            F.when(token == "[", F.concat(last, F.lit("[]"))).when(token == "{", last).when(closes, top).otherwise(key).alias("last"),
+            F.when(is_key & ~F.array_contains(acc["paths"], key), F.concat(acc["paths"], F.array(key))).otherwise(acc["paths"]).alias("paths"),
+        )
+
+    return F.array_sort(F.aggregate(F.coalesce(tokens, none), first, step, lambda acc: acc["paths"]))
+
+
+def fingerprint(paths: Column) -> Column:
+    """The hash of a record's sorted field paths."""
+    return F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16)
 
-    def below(key: Column) -> Column:
-        # get_json_object can't take a path from a column; a map of raw values can.
-        value = F.element_at(F.from_json(record, "map<string,string>"), key)
-        items = F.when(F.substring(F.ltrim(value), 1, 1) == "[", F.from_json(value, "array<map<string,string>>"))
-        inner = F.array_distinct(F.flatten(F.transform(items, lambda m: F.map_keys(F.coalesce(m, F.from_json(F.lit("{}"), "map<string,string>"))))))
-        return F.when(F.size(F.coalesce(inner, F.array().cast("array<string>"))) > 0, F.transform(inner, lambda f: F.concat(key, F.lit("[]."), f))).otherwise(F.array(key))
 
-    return F.array_sort(F.flatten(F.transform(keys, below)))
+def _ddl(paths: list[str]) -> str:
+    """The schema that reads just these paths; a leaf is text."""
+    tree: dict[str, list[str]] = {}
+    for path in paths:
+        name, _, rest = path.partition(".")
+        tree.setdefault(name, []).extend([rest] if rest else [])
+    fields = []
+    for name, below in tree.items():
+        kind = _ddl(below) if below else "string"
+        fields.append(f"`{name.removesuffix('[]')}`:{f'array<{kind}>' if name.endswith('[]') else kind}")
+    return f"struct<{','.join(fields)}>"
 
 
-def fingerprint(record: Column) -> Column:
-    """The hash of a record's field paths."""
-    return F.substring(F.sha2(F.array_join(field_paths(record), "\n"), 256), 1, 16)
+def _at(value: Column, path: str) -> Column:
+    for name in path.split("."):
+        value = value[name]
+    return value
 
 
 def _convert(layout: Layout, record: Column) -> Column:
     empty = F.array().cast(TURNS)
     if layout.turns:
         name, role, text = layout.turns
-        items = F.from_json(record, f"struct<`{name}`:array<struct<`{role}`:string,`{text}`:string>>>")[name]
+        items = _at(F.from_json(record, _ddl([f"{name}[].{role}", f"{name}[].{text}"]), _JSON), name)
         return F.coalesce(F.transform(items, lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))), empty)
-    values = F.from_json(record, f"struct<{','.join(f'`{p}`:string' for _, p in layout.fields)}>")
-    turns = [F.struct(F.lit(r).alias("role"), values[p].alias("text")) for r, p in layout.fields]
+    values = F.from_json(record, _ddl([p for _, p in layout.fields]), _JSON)
+    turns = [F.struct(F.lit(r).alias("role"), _at(values, p).alias("text")) for r, p in layout.fields]
     return F.filter(F.array(*turns), lambda t: t["text"].isNotNull()).cast(TURNS)
 
 
@@ -114,12 +172,13 @@ def _role(role: Column) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """records with `fingerprint`, `layout` (null: unknown) and `turns`."""
-    out = records.withColumn("fingerprint", fingerprint(F.col(record)))
+    """records with `paths`, `fingerprint`, `layout` (null: unknown) and `turns`."""
+    out = records.withColumn("paths", field_paths(own(records, record)))
+    out = out.withColumn("fingerprint", fingerprint(F.col("paths")))
     turns, layout = F.array().cast(TURNS), F.lit(None).cast("string")
     for kind in LAYOUTS:
         hit = F.col("fingerprint").isin([path_hash(v) for v in variants(kind)])
-        turns = F.when(hit, _convert(kind, F.col(record))).otherwise(turns)
+        turns = F.when(hit, _convert(kind, own(records, record))).otherwise(turns)
         layout = F.when(hit, F.lit(kind.name)).otherwise(layout)
     return out.withColumn("layout", layout).withColumn("turns", turns)
 
@@ -140,20 +199,33 @@ def render(turns: DataFrame) -> DataFrame:
     """Records with `formatted` and `loss`, the spans (start, stop) of the assistants' texts in it."""
     parts = F.transform("turns", lambda t: F.struct((t["role"] == ASSISTANT).alias("learn"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     marks = len(BEGIN) + len(MIDDLE)
+    size = lambda t: F.length(t["role"]) + F.length(t["text"]) + marks + len(END)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
 
-    def step(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["role"]) + marks
-        stop = start + F.length(t["text"])
-        span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
-        return F.struct((stop + len(END)).alias("at"), F.when(t["learn"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(block: Column) -> Column:
+        """Spans of a block of turns, from the place where it begins."""
 
-    text = F.transform("_parts", lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit(MIDDLE), t["text"], F.lit(END)))
+        def step(acc: Column, t: Column) -> Column:
+            start = acc["at"] + F.length(t["role"]) + marks
+            stop = start + F.length(t["text"])
+            span = F.array(F.struct(start.alias("start"), stop.alias("stop")))
+            return F.struct((stop + len(END)).alias("at"), F.when(t["learn"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block["turns"], F.struct(block["at"].alias("at"), first["out"].alias("out")), step, lambda acc: acc["out"])
+
+    name, begins = fresh(turns.columns, "parts", "begins")
+    text = F.transform(name, lambda t: F.concat(F.lit(BEGIN), t["role"], F.lit(MIDDLE), t["text"], F.lit(END)))
+    # an array that grows by one item is copied at each step: first the lengths of blocks, then each block from its own start
+    starts = F.sequence(F.lit(0), F.greatest(F.size(name), F.lit(1)) - 1, F.lit(BLOCK))
+    lengths = F.transform(starts, lambda b: F.aggregate(F.slice(name, b + 1, BLOCK), F.lit(0), lambda a, t: a + size(t)))
+    upto = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    blocks = F.transform(starts, lambda b, k: F.struct(F.get(begins, k).alias("at"), F.slice(name, b + 1, BLOCK).alias("turns")))
     return (
-        turns.withColumn("_parts", parts)
+        turns.withColumn(name, parts)
+        .withColumn(begins, upto)
         .withColumn("formatted", F.array_join(text, ""))
-        .withColumn("loss", F.aggregate("_parts", first, step, lambda acc: acc["out"]))
-        .drop("_parts")
+        .withColumn("loss", F.flatten(F.transform(blocks, spans)))
+        .drop(name, begins)
     )
 
 
@@ -171,32 +243,43 @@ def learned(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda s: unescape(formatted.substr(s["start"] + 1, s["stop"] - s["start"]))), "")
 
 
+def written(layout: Layout, turns: Column) -> Column:
+    """JSON of turns (role, text) in a layout of lists; canonical() reads it back."""
+    name, role, text = layout.turns
+    names = F.create_map(*[F.lit(x) for pair in layout.written for x in pair]) if layout.written else None
+    called = (lambda r: F.coalesce(F.try_element_at(names, r), r)) if names is not None else (lambda r: r)
+    value = F.transform(turns, lambda t: F.struct(called(t["role"]).alias(role), t["text"].alias(text)))
+    for part in reversed(name.split(".")):
+        value = F.struct(value.alias(part))
+    return F.to_json(value)
+
+
 def records_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record) of rows (conv_id, turn, role, text): a record of layout `turns` for each conversation.
+    """(conv_id, record) of rows (conv_id, turn, role, text): a JSON record for each conversation.
 
-    All turns of a conversation make one record, so they have to meet; a
-    conversation is one output value whatever its length.
+    The layouts of lists are dealt by a hash of the id, so a table's records are
+    heterogeneous. All turns of a conversation make one record, so they have to
+    meet; a conversation is one output value whatever its length.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    lean = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return ordered.select("conv_id", F.to_json(F.struct(lean.alias("turns"))).alias("record"))
+    kinds = [k for k in LAYOUTS if k.turns]
+    place = F.pmod(F.xxhash64("conv_id"), F.lit(len(kinds)))
+    record = written(kinds[0], F.col("turns"))
+    for n, kind in enumerate(kinds[1:], 1):
+        record = F.when(place == n, written(kind, F.col("turns"))).otherwise(record)
+    return ordered.select("conv_id", record.alias("record"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the rendered records say when read back."""
-    text = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return (
-        formatted.withColumn("_turns", parse(F.col("formatted")))
-        .withColumn("_learned", learned(F.col("formatted"), F.col("loss")))
-        .select(
-            "conv_id",
-            F.size("_turns").cast("long").alias("n_turns"),
-            F.sha2(text, 256).alias("turns_sha256"),
-            F.length("_learned").cast("long").alias("loss_chars"),
-            F.sha2("_learned", 256).alias("loss_sha256"),
-            F.length("formatted").cast("long").alias("formatted_chars"),
-        )
+    """What the rendered records say when read back: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    read = formatted.select(
+        "conv_id", parse(F.col("formatted")).alias("turns"), learned(F.col("formatted"), F.col("loss")).alias("learned"), F.length("formatted").cast("long").alias("formatted_chars")
+    )
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
     )
 
 
