@@ -8,16 +8,26 @@ of a text are looked up, the hits give diagonals, and along each diagonal the
 template is aligned with the text in a band: matched words give coverage and
 span. Words are runs of letters and digits, in lower case (ASCII).
 
-The templates are a parameter. They go to the executors as they are: their total
-is bounded by MOST_WORDS, more is an error.
+Words that tell licenses apart (families, clauses such as NonCommercial, version
+numbers) must agree: an alignment leaves none of the template out and passes over
+none in the text, so one license is never named for another. Of matches that
+overlap, of one or several templates, the one of most words is reported.
 
-Defined results: null and empty texts match nothing; a template shorter than a run
-is one run; matches of one template don't overlap, the leftmost counts; repeated rows are reported each time.
+The templates are a parameter. They go to the executors in blocks of BLOCK_WORDS
+words; with more than one block the texts pass from block to block, each adding
+its matches, and the choice among overlapping ones follows the last.
+
+Defined results: null and empty texts match nothing; very long texts are scanned
+whole; a template shorter than a run is one run, one without words matches
+nothing; of equal matches (ties) the leftmost, then the first name counts; repeated
+rows are reported each time; an empty table gives an empty result; columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -26,39 +36,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, texts
+from .shared import texts
 
 GRAM = 3
 WINDOW = 2
 BAND = 6
 COVERAGE = 0.75
-MOST_WORDS = 500_000
-#: Public license notices.
-TEMPLATES = {
+#: Words of templates that the executors hold at once.
+BLOCK_WORDS = 200_000
+#: Public license notices and the bodies of short licenses.
+NOTICES = {
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "Apache-1.1-name": "Apache License, Version 1.1",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "Apache-2.0-name": "Apache License, Version 2.0",
     "Apache-2.0-notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License."
     ),
     "BSD-redistribution": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "BSD-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, '
+        "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+        "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+        "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies."
     ),
     "MIT": "Released under the MIT License",
+    "MIT-body": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, '
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+        "THE SOFTWARE."
+    ),
     "MIT-permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in "
         "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software"
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+        "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions"
+    ),
+    "all-rights-reserved": "All rights reserved",
 }
+#: The clauses of Creative Commons licenses, their versions, those of the GNU licenses, and how they are written out.
+CC_CLAUSES = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+CC_VERSIONS = ("2.0", "3.0", "4.0")
+GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+#: Words that tell licenses apart, and words after which a number is a version.
+TELLING = frozenset(
+    "apache mit bsd isc mozilla mpl gnu gpl lgpl agpl affero lesser cc cc0 nc sa nd noncommercial sharealike noderivatives noderivs unlicense zlib".encode().split()
+)
+VERSIONED = frozenset("version v license licence public apache gpl lgpl agpl mpl cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives noderivs".encode().split())
+
+
+def _all_templates() -> dict[str, str]:
+    out = dict(NOTICES)
+    for version in CC_VERSIONS:
+        for code, name in CC_CLAUSES.items():
+            out[f"CC-{code}-{version}"] = f"CC {code} {version}"
+            out[f"CC-{code}-{version}-name"] = f"Creative Commons {name} {version}"
+            out[f"CC-{code}-{version}-title"] = f"{name} {version}"
+    for code, name in GNU.items():
+        for version in GNU_VERSIONS[code]:
+            full = version if "." in version else f"{version}.0"
+            out[f"{code}-{full}"] = f"This work is licensed under the {name}, version {version}"
+            out[f"{code}-{full}-short"] = f"GNU {code}, version {version}"
+            out[f"{code}-{full}-name"] = f"{name}, version {version}"
+            out[f"{code}-{full}-notice"] = (
+                f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by "
+                f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version"
+            )
+    return out
+
+
+TEMPLATES = _all_templates()
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 #: Everything but letters, digits and bytes of other scripts becomes a space.
 _SPACE = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256)).lower()
@@ -69,6 +145,15 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_SPACE).split()
 
 
+def telling(found: list[bytes]) -> list[bool]:
+    """Whether each word tells licenses apart: a family, a clause, or a number of a version."""
+    out: list[bool] = []
+    for k, word in enumerate(found):
+        number = word.isdigit() and k > 0 and (found[k - 1] in VERSIONED or found[k - 1].isdigit() and out[k - 1])
+        out.append(word in TELLING or number)
+    return out
+
+
 def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     """Places of the smallest hash (the last of equals) of each window."""
     kept: list[int] = []
@@ -80,28 +165,51 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     return kept
 
 
-def align(template: list[bytes], text: list[bytes], shift: int, band: int = BAND, floor: int = 0) -> tuple[int, int, int]:
+def align(template: list[bytes], text: list[bytes], shift: int, must: list[bool], stops: list[bool], band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first place, last place) of the best alignment of a template with text words, all in a band about a diagonal.
 
-    Longest common subsequence in the band; word i of the template may only meet
-    words shift + i - band to shift + i + band of the text, none before floor.
+    Longest common subsequence in the band: word i of the template may only meet
+    words shift + i - band to shift + i + band of the text. Words that `must` marks
+    can't be left out of the template, words that `stops` marks can't be passed over
+    inside the span. Of equal counts the shorter span counts, then the one that
+    begins nearer to the diagonal.
     """
     width = 2 * band + 1
-    before: list[tuple[int, int, int]] = [(0, -1, -1)] * (width + 1)
+    last_must = max((i for i, m in enumerate(must) if m), default=-1)
+    #: A state is (matched, -span, -distance from the diagonal, first, last); None: none is allowed.
+    empty = (0, 0, 0, -1, -1)
+    before: list[tuple[int, int, int, int, int] | None] = [empty] * (width + 1)
+    best = empty
     for i, word in enumerate(template):
-        row: list[tuple[int, int, int]] = []
+        row: list[tuple[int, int, int, int, int] | None] = []
         for d in range(width):
             j = shift + i + d - band
-            up = before[d + 1] if d + 1 <= width else (0, -1, -1)  # the text's word j, template word left out
-            left = row[-1] if row else (0, -1, -1)
-            best = max(up, left, key=lambda x: (x[0], x[1] - x[2]))
-            if floor <= j < len(text) and text[j] == word:
-                n, first, _ = before[d]
-                made = (n + 1, first if n else j, j)
-                best = max(best, made, key=lambda x: (x[0], x[1] - x[2]))
-            row.append(best)
-        before = [*row, (0, -1, -1)]
-    return max(before, key=lambda x: (x[0], x[1] - x[2]))
+            state = None if must[i] else before[d + 1]  # the template's word left out
+            if d and 0 <= j < len(text) and row[-1] is not None and (state is None or row[-1] > state) and not (stops[j] and row[-1][0]):
+                state = row[-1]  # the text's word passed over
+            above = before[d]
+            if above is not None and 0 <= j < len(text) and text[j] == word:
+                first, distance = (above[3], above[2]) if above[0] else (j, -abs(d - band))
+                made = (above[0] + 1, first - j, distance, first, j)
+                if state is None or made > state:
+                    state = made
+                if i >= last_must and made > best:
+                    best = made
+            row.append(state)
+        before = [*row, None if must[i] else before[width]]
+    return best[0], best[3], best[4]
+
+
+def chosen(matches: list[tuple]) -> list[tuple]:
+    """Of (name, coverage, matched, first, last) those that stay where some overlap: most words first, then the shortest, leftmost, first name."""
+    out: list[tuple] = []
+    begins: list[int] = []
+    for m in sorted(set(matches), key=lambda m: (-m[2], m[4] - m[3], m[3], m[0])):
+        k = bisect(begins, m[4])  # those that stay don't overlap: only the last one that begins before m ends can
+        if not k or out[k - 1][4] < m[3]:
+            out.insert(k, m)
+            begins.insert(k, m[3])
+    return out
 
 
 class TemplateIndex:
@@ -111,8 +219,7 @@ class TemplateIndex:
         self.gram = gram
         self.names = sorted(templates)
         self.templates = [words(templates[n]) for n in self.names]
-        if sum(map(len, self.templates)) > MOST_WORDS:
-            raise ValueError(f"templates of more than {MOST_WORDS} words")
+        self.must = [telling(t) for t in self.templates]
         self.ids = {w: n + 1 for n, w in enumerate(sorted({w for t in self.templates for w in t}))}
         self.runs: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
         self.table = np.zeros(_TABLE, np.bool_)
@@ -153,44 +260,70 @@ class TemplateIndex:
                     for n, i in where:
                         yield n, i, p
 
-    def scan(self, text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, matched words, start, stop) of each match; places in code points."""
-        found = words(text)
-        by_template: dict[int, set[int]] = {}
-        for n, i, p in self.hits(found):
-            by_template.setdefault(n, set()).add(p - i)
-        if not by_template:
+    def matches(self, found: list[bytes], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
+        """(template, coverage, matched words, first word, last word) of every match, overlapping ones too."""
+        diagonals = {(n, p - i) for n, i, p in self.hits(found)}
+        if not diagonals:
             return []
-        places = None
-        out = []
-        for n, shifts in sorted(by_template.items()):
-            template, last, floor = self.templates[n], None, 0
-            for shift in sorted(shifts):
-                if last is not None and shift - last <= BAND // 2:
-                    continue
-                last = shift
-                k, first, end = align(template, found, shift, floor=floor)
-                if k and k >= coverage * len(template):
-                    floor = end + 1
-                    if places is None:
-                        places = [m.span() for m in _WORD.finditer(text)]
-                    out.append((self.names[n], k / len(template), k, places[first][0], places[end][1]))
-        return sorted(out, key=lambda x: (x[3], x[0]))
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+        stops, out = telling(found), []
+        for n, shift in sorted(diagonals):
+            template = self.templates[n]
+            k, first, last = align(template, found, shift, self.must[n], stops)
+            if k and k >= coverage * len(template):
+                out.append((self.names[n], k / len(template), k, first, last))
+        return out
+
+
+def placed(text: str, matches: list[tuple]) -> list[tuple[str, float, int, int, int]]:
+    """(template, coverage, matched words, start, stop) of the matches that stay; places in code points."""
+    if not matches:
+        return []
+    places = [m.span() for m in _WORD.finditer(text)]
+    return [(name, cover, k, places[first][0], places[last][1]) for name, cover, k, first, last in chosen(matches)]
+
+
+def blocks(templates: dict[str, str], size: int = BLOCK_WORDS) -> list[dict[str, str]]:
+    """The templates in blocks of at most `size` words (one template at least)."""
+    out: list[dict[str, str]] = [{}]
+    held = 0
+    for name in sorted(templates):
+        n = len(words(templates[name]))
+        if out[-1] and held + n > size:
+            out.append({})
+            held = 0
+        out[-1][name] = templates[name]
+        held += n
+    return out
+
+
+_FOUND = "array<struct<license:string,coverage:double,matched:long,start:long,stop:long>>"
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, size: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, license, coverage, matched, start, stop) of notices in texts."""
-    small_batches(docs.sparkSession)
-    templates = TEMPLATES if templates is None else templates
-    TemplateIndex(templates)  # an error, if any, comes before the job
+    parts = blocks(TEMPLATES if templates is None else templates, size)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.array().cast(_FOUND).alias("found"))
+    for part in parts[:-1]:
+        rows = rows.mapInArrow(_adder(part, coverage, False), f"doc_id long, text string, found {_FOUND}")
+    return rows.mapInArrow(_adder(parts[-1], coverage, True), f"doc_id long, found {_FOUND}").selectExpr("doc_id", "inline(found)")
+
+
+def _adder(templates: dict[str, str], coverage: float, last: bool):
+    names = ("license", "coverage", "matched", "start", "stop")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Matches so far are words' places; the last block chooses among them and gives the texts' places."""
         index = TemplateIndex(templates)
-        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["doc_id", "license", "coverage", "matched", "start", "stop"]
         for batch in batches:
-            rows = [(i, *r) for i, t in zip(batch.column(0).to_pylist(), texts(batch)) for r in index.scan(t, coverage)]
-            columns = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            ids, every = [], []
+            for doc_id, text, found in zip(batch.column(0), texts(batch), batch.column(2)):
+                matches = [tuple(m.values()) for m in found.as_py()] + index.matches(words(text), coverage)
+                matches = placed(text, matches) if last else matches
+                if matches or not last:
+                    ids.append(doc_id.as_py())
+                    every.append([dict(zip(names, m)) for m in matches])
+            made = [pa.array(ids, pa.int64()), pa.array(every, kind)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "found"]) if last else pa.RecordBatch.from_arrays([made[0], batch.column(1), made[1]], ["doc_id", "text", "found"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, license string, coverage double, matched long, start long, stop long")
+    return run
