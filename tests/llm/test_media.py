@@ -36,7 +36,63 @@ def test_resynchronises_after_damage():
     assert len(junk.offsets) == len(clean.offsets) and junk.tags["ID3v1:title"] == "title" and junk.skipped == 6
     broken = bytearray(stream)
     broken[third + 7] ^= 1
-    assert media.decode(bytes(broken)).bad_checksums == 1
+    audio = media.decode(bytes(broken))
+    assert (audio.bad_checksums, audio.offsets) == (1, clean.offsets[:2] + clean.offsets[3:]) and audio.samples == clean.samples - 1152
+    room = 1006
+    assert audio.payload == clean.payload[: 2 * room] + bytes(room) + clean.payload[3 * room :]
+
+
+def test_payload_that_looks_like_a_trailing_tag():
+    for size in (1006, 4 * 1006):
+        payload = bytearray(b"x" * size)
+        payload[-128:-125] = b"TAG"
+        stream = media.encode(bytes(payload))
+        assert stream[-128:-125] == b"TAG" and media.decode(stream).payload == bytes(payload) and not media.decode(stream).skipped
+        tagged = media.decode(stream + b"TAG" + b"a title".ljust(125, b"\0"))
+        assert tagged.payload == bytes(payload) and tagged.tags["ID3v1:title"] == "a title"
+
+
+def seven(n):
+    return bytes(n >> s & 127 for s in (21, 14, 7, 0))
+
+
+@pytest.mark.parametrize(
+    ("head", "body", "foot"),
+    [
+        (b"ID3\x02\0\0", b"TT2" + (6).to_bytes(3, "big") + b"\0Title", b""),
+        (b"ID3\x03\0\0", b"TT2X"[:0] + b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + b"\0Title", b""),
+        (b"ID3\x03\0\x40", (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + (6).to_bytes(4, "big") + b"\0\0" + b"\0Title", b""),
+        (b"ID3\x04\0\x50", seven(6) + b"\x01\0" + b"TIT2" + seven(11) + b"\0\0" + b"\x02" + "Title".encode("utf-16-be"), b"3DI\x04\0\x50" + bytes(4)),
+        (b"ID3\x03\0\x80", b"TIT2" + (13).to_bytes(4, "big") + b"\0\0" + (b"\x01" + "Title".encode("utf-16"))[:3].replace(b"\xff", b"\xff\x00") + "Title".encode("utf-16-le"), b""),
+        (b"ID3\x04\0\0", b"TIT2" + seven(6) + b"\0\0" + b"\x03Title", b""),
+    ],
+)
+def test_tags_of_all_versions(head, body, foot):
+    tag = head + seven(len(body)) + body + foot
+    stream = media.encode(b"y" * 64)
+    frames = stream[media.read_tag(stream, media.Audio()) :]
+    audio = media.decode(tag + frames)
+    assert audio.tags.get("TIT2", audio.tags.get("TT2")) == "Title" and len(audio.offsets) == 1 and audio.skipped == 0
+
+
+def test_seek_tables_are_read_and_compared():
+    stream = media.encode(bytes(200_000))
+    audio = media.decode(stream)
+    assert len(audio.points) == 100 and audio.wrong_points() == 0
+    at = stream.index(b"Xing") + 16
+    twisted = bytearray(stream)
+    twisted[at : at + 100] = bytes(reversed(stream[at : at + 100]))
+    assert media.decode(bytes(twisted)).wrong_points() > 50
+    # a VBRI table: entries of ten frames each, sizes in two bytes
+    frames = stream[audio.offsets[0] :]
+    size = media.header(stream, audio.offsets[0]).size
+    first = bytearray(stream[audio.offsets[0] - size : audio.offsets[0]])
+    first[36:] = bytes(len(first) - 36)
+    entries = len(audio.offsets) // 10
+    first[36:62] = b"VBRI" + bytes(6) + len(frames).to_bytes(4, "big") + len(audio.offsets).to_bytes(4, "big") + entries.to_bytes(2, "big") + b"\0\x01\0\x02\0\x0a"
+    first[62 : 62 + 2 * entries] = (10 * size).to_bytes(2, "big") * entries
+    other = media.decode(bytes(first) + frames)
+    assert (other.table["frames"], len(other.points), other.wrong_points()) == (len(audio.offsets), entries, 0)
 
 
 @pytest.mark.parametrize("data", [b"", b"ID3", b"\xff" * 1000, b"\xff\xfb\x90\x00", bytes(5000)])
@@ -74,6 +130,7 @@ def test_query(spark, sf_dir):
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         stream = media.encode(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r.offsets == media.decode(stream).offsets and r.seconds == len(r.offsets) * 1152 / 44100 and f"frames={len(r.offsets)} " in r.feature and "bad=0" in r.feature
         assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest())
 
 
