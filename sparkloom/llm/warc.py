@@ -7,14 +7,20 @@ response's payload and headers, replaced by those headers that a 304 may update.
 
 The as-of join has two levels: the last response of each (URL, slice of time) is
 aggregated map-side and carried forward over a URL's at most SLICES slices, and
-only records of one slice are sorted together. A URL with a third of all records
-is so dealt over SLICES tasks. Payloads don't move: the join handles record ids.
+only records of one slice are sorted together. Slices are cut at quantiles of all
+records' times, so a few odd times don't gather the rest in one slice, and a URL
+with a third of all records is dealt over a third of the slices at least. Payloads
+don't move: the join handles record ids.
 
 Defined results: outcome is `full` for responses, `resolved`, `changed` (the
 validators differ or are missing) or `orphan` (no earlier response). Earlier means
-a smaller time; of responses at one time the largest record id counts; a record
-without a time is never found, and as a revisit is an orphan; a null URL is
-canonically empty and such records refer to each other as any others.
+a smaller time; of responses at one time the largest record id counts, of equal
+ids the largest hash of headers, so repeated rows and ties have one result each; a
+record without a time is never found, and as a revisit is an orphan; a null or
+empty URL is canonically empty and such records refer to each other as any others;
+very long URLs and header values are kept whole; null headers are none; an empty
+table gives an empty result; other columns are kept whatever their names, and
+those named like a result column replaced.
 """
 
 from __future__ import annotations
@@ -22,11 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import packed, unpacked
+
 SLICES = 64
 #: Headers that a 304 answer may update (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name a campaign, not a page.
 TRACKING = r"^(?:utm_[a-z]+|fbclid|gclid|ref)(?:=|$)"
+OUT = ("canonical", "outcome", "refers_to", "payload_of", "merged")
 
 
 def canonical_url(url: Column) -> Column:
@@ -51,34 +60,35 @@ def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     headers map<string,string> with names in lower case. payload_of is the
     record that holds the payload (null if there is none).
     """
-    records = records.drop("canonical", "outcome", "refers_to", "payload_of", "merged")
-    low, high = records.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // slices + 1)
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers")))
-    rows = (
-        records.withColumn("canonical", canonical_url(F.col("url")))
-        .withColumn("_slice", F.coalesce(F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("long"))
-        .withColumn("_full", full)
+    shares = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    cuts = records.agg(F.percentile_approx("ts", shares, 10_000)).first()[0] or []
+    later = F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<long>"), lambda c: c < F.col("ts"))
+    none = F.create_map().cast("map<string,string>")
+    rows = records.select(
+        packed(records), "record_id", "ts", "kind", F.coalesce("headers", none).alias("headers"), canonical_url(F.col("url")).alias("canonical"),
+        F.when(F.col("ts").isNull(), -1).otherwise(F.size(later)).alias("slice"),
     )
-    last = rows.groupBy("canonical", "_slice").agg(F.max_by("_full", F.when(F.col("_full").isNotNull(), F.struct("ts", "record_id"))).alias("_last"))
-    past = Window.partitionBy("canonical").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col("canonical").alias("_c"), F.col("_slice").alias("_s"), F.last("_last", ignorenulls=True).over(past).alias("_carried"))
-    inside = Window.partitionBy("canonical", "_slice").orderBy("ts", F.when(F.col("kind") == "response", 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carried, (F.col("canonical") == F.col("_c")) & (F.col("_slice") == F.col("_s"))).withColumn("_in", F.last("_full", ignorenulls=True).over(inside))
-    found = joined.withColumn("_found", F.when((F.col("kind") == "revisit") & F.col("ts").isNotNull(), F.coalesce("_in", "_carried")))
-    own, theirs = F.col("headers"), F.col("_found.headers")
+    rows = rows.withColumn("tie", F.xxhash64(F.array_sort(F.map_entries("headers"))))
+    rows = rows.withColumn("full", F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers"))))
+    last = rows.groupBy("canonical", "slice").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct("ts", "record_id", "tie"))).alias("last"))
+    past = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("canonical").alias("c"), F.col("slice").alias("s"), F.last("last", ignorenulls=True).over(past).alias("carried"))
+    answers = F.when(F.col("kind") == "response", 1).otherwise(0)  # at one time revisits come first: earlier means a smaller time
+    inside = Window.partitionBy("canonical", "slice").orderBy("ts", answers, "record_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carried, (F.col("canonical") == F.col("c")) & (F.col("slice") == F.col("s"))).withColumn("inner", F.last("full", ignorenulls=True).over(inside))
+    found = joined.withColumn("found", F.when((F.col("kind") == "revisit") & F.col("ts").isNotNull(), F.coalesce("inner", "carried")))
+    own, theirs = F.col("headers"), F.col("found.headers")
     tags = (F.try_element_at(own, F.lit("etag")), F.try_element_at(theirs, F.lit("etag")))
     times = (F.try_element_at(own, F.lit("last-modified")), F.try_element_at(theirs, F.lit("last-modified")))
     agrees = F.when(tags[0].isNotNull() & tags[1].isNotNull(), strong(tags[0]) == strong(tags[1])).otherwise(F.coalesce(times[0] == times[1], F.lit(False)))
-    outcome = F.when(F.col("kind") == "response", "full").when(F.col("_found").isNull(), "orphan").when(agrees, "resolved").otherwise("changed")
+    outcome = F.when(F.col("kind") == "response", "full").when(F.col("found").isNull(), "orphan").when(agrees, "resolved").otherwise("changed")
     update = F.map_filter(own, lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter(theirs, lambda k, _: ~F.array_contains(F.map_keys(update), k))
-    return (
-        found.withColumn("outcome", outcome)
-        .withColumn("refers_to", F.when(F.col("outcome") == "resolved", F.col("_found.id")))
-        .withColumn("payload_of", F.when(F.col("outcome") == "full", F.col("record_id")).otherwise(F.col("refers_to")))
-        .withColumn("merged", F.when(F.col("outcome") == "resolved", F.map_concat(kept, update)).otherwise(own))
-        .select(*records.columns, "canonical", "outcome", "refers_to", "payload_of", "merged")
+    judged = found.withColumn("outcome", outcome)
+    refers = F.when(F.col("outcome") == "resolved", F.col("found.id"))
+    return judged.select(
+        *unpacked(records, *OUT), "canonical", "outcome", refers.alias("refers_to"), F.when(F.col("outcome") == "full", F.col("record_id")).otherwise(refers).alias("payload_of"),
+        F.when(F.col("outcome") == "resolved", F.map_concat(kept, update)).otherwise(own).alias("merged"),
     )
 
 
