@@ -5,19 +5,26 @@ above `most` times its size; what is cut goes to the others by weight), and a
 source's rate is its target over its size. A document is emitted floor(rate)
 times, plus once more if a coin seeded by its id falls below the fraction.
 
-Defined results: a null text has size 0; a null source is a source of its own,
-last in order; a source of size 0 has target 0 and emits nothing; an empty
-table gives an empty result. Rows that repeat an id share its coin; a null id
-takes its coin from the text. A column of the input that has the name of a
-result column is replaced.
+Sources get their places from a range-dealt order and the water level from a few
+sums over the sources, repeated until no further source is capped: however many
+sources there are, no task holds them all, and only sums reach the driver.
+
+Defined results: a null text has size 0, an empty one too, and of very long ones
+every word counts; a null source is a source of its own, last in order; a source
+of size 0 has target 0 and emits nothing; equal caps (ties) are capped alike; an
+empty table gives an empty result. Rows that repeat an id share its coin; a null id
+takes its coin from the text. Other columns are kept, whatever their names; one
+that mix() returns by the same name is replaced, emit() replaces none but `copy`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from sparkloom.operators.relational import global_position
+
+from .shared import materialise, packed, unpacked
 
 #: A word; the complement is ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,28 +44,29 @@ def word_count(text: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) of (source, source_size).
 
-    Water filling in closed form: in order of cap per weight, source k is capped
-    if the level that is left, once all before it are capped, reaches its cap;
-    the level at the first source that isn't capped holds for all the rest. The
-    windows run over one row per source.
+    Water filling: the level is what is left for the sources that aren't capped,
+    by their weights. It rises as sources whose cap it has reached are taken out,
+    until it reaches no further cap; each step is one sum over the sources.
     """
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    before = Window.orderBy("cap_each", "place").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        sizes.withColumn("place", place)
+        global_position(sizes, [F.col("source").asc_nulls_last()], "place")
         .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
         .withColumn("cap", F.lit(most) * F.col("source_size"))
         .withColumn("cap_each", F.col("cap") / F.col("weight"))
     )
-    levels = (
-        ranked.withColumn("left", F.lit(share) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weights_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", F.col("left") / F.col("weights_left"))
-    )
-    first = F.min(F.when(F.col("cap_each") > F.col("level"), F.struct("cap_each", "place", "level"))).over(everything)
-    target = F.coalesce(F.least(F.col("cap"), F.col("weight") * F.col("first.level")), F.col("cap"))
-    return levels.withColumn("first", first).select("source", "source_size", target.cast("double").alias("target"))
+    ranked = materialise(ranked, "mix-sources")
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level = None
+    while True:
+        full = F.lit(False) if level is None else F.col("cap_each") <= F.lit(level)
+        capped, left = ranked.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        now = (share * total - (capped or 0.0)) / left if left else float("inf")
+        if now == level or not left:
+            level = now
+            break
+        level = now
+    target = F.least(F.col("cap"), F.col("weight") * F.lit(level))
+    return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
 def coin(doc_id: Column, text: Column, seed: int) -> Column:
@@ -67,40 +75,42 @@ def coin(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"mix-{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 1, keep_text: bool = True) -> DataFrame:
-    """Each row of docs with size, source_size, target, copies and taken.
+def _rated(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int, whole: bool) -> DataFrame:
+    """(row, size, source_size, target, copies, taken); row has the columns of docs, but text if not `whole`.
 
     The sizes per source are summed map-side, the targets (a row per source) are
     written out, and the planner broadcasts them only if the files are below its
     threshold; else the join shuffles on source and salt. A hot source is never
-    gathered: its rows carry SALTS different keys.
+    gathered: its rows carry SALTS different keys. Without texts the rows are
+    written once with their sizes, so that words are counted in one pass.
     """
-    docs = docs.drop(*OUT)
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    given = docs if whole else docs.drop("text")
+    rows = docs.select(packed(given), F.col("source").alias("own"), word_count(F.col("text")).alias("size"), coin(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    if not whole:
+        rows = materialise(rows, "mix-sizes")
+    sizes = rows.groupBy(F.col("own").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
-    salted = targets.select(
-        F.col("source").isNull().alias("t_null"), F.coalesce("source", F.lit("")).alias("t_source"), "source_size", "target",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t_salt"),
-    )
-    flip = coin(F.col("doc_id"), F.col("text"), seed)
-    rows = sized.withColumn("u", flip)
-    if not keep_text:
-        rows = rows.drop("text")
-    salt = F.floor(F.col("u") * SALTS).cast("int")
+    salted = targets.select(F.col("source").alias("theirs"), "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # two keys that are never null stand for a null-safe comparison
     joined = rows.join(
         salted,
-        (F.coalesce(rows["source"], F.lit("")) == salted["t_source"]) & (rows["source"].isNull() == salted["t_null"]) & (salt == salted["t_salt"]),
+        (F.coalesce("own", F.lit("")) == F.coalesce("theirs", F.lit(""))) & (F.col("own").isNull() == F.col("theirs").isNull()) & (F.floor(F.col("u") * SALTS).cast("int") == F.col("salt")),
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + F.when(F.col("u") < rate - F.floor(rate), 1).otherwise(0)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("u", "t_null", "t_source", "t_salt")
+    return joined.withColumn("copies", copies).select("row", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 1, keep_text: bool = True) -> DataFrame:
+    """Each row of docs with size, source_size, target, copies and taken."""
+    rated = _rated(docs, weights, share, most, seed, keep_text)
+    return rated.select(*unpacked(docs, *OUT, *(() if keep_text else ("text",))), *OUT)
 
 
-def emit(mixed: DataFrame) -> DataFrame:
-    """The rows of the mix: each as many times as its copies say, numbered from 1 in `copy`."""
-    rows = mixed.where(F.col("copies") > 0)
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop(*OUT)
+def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
+    """The rows of the mix: each row of docs as many times as its copies say, numbered from 1 in `copy`."""
+    rows = _rated(docs, weights, share, most, seed, True).where(F.col("copies") > 0)
+    return rows.select(*unpacked(docs, "copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
 
 
 ORACLE_SQL = r"""
@@ -119,7 +129,7 @@ WITH sized AS (
   FROM weighed
   WINDOW w AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), water AS (
-  SELECT arg_min(level, cap_each * 1e3 + place / 1e6) FILTER (WHERE cap_each > level) AS level FROM levels
+  SELECT first(level ORDER BY cap_each, place) FILTER (WHERE cap_each > level) AS level FROM levels
 ), targets AS (
   SELECT source, source_size, coalesce(least(cap, weight * water.level), cap)::DOUBLE AS target FROM levels, water
 ), coins AS (
