@@ -2,7 +2,7 @@
 
 Candidates are the base spans (strict patterns that also pass their check) and
 looser ones: addresses written out ("name at host dot org"), telephone numbers
-without a country code, IPv6 addresses, 13 to 15 digit cards. Five labelers vote
+without a country code, IPv6 addresses, 15 digit cards. Five labelers vote
 yes, no or nothing on every candidate: its pattern, its structure, a gazetteer
 and two lists of context words. Expectation-maximisation over the counts of vote
 patterns estimates each labeler's reliability without labels; the posteriors
@@ -16,8 +16,11 @@ Patterns begin where no earlier character could belong to the match (or where
 the last match ended) and use possessive quantifiers: same matches as the plain
 forms, linear time and no recursion on very long runs.
 
-Defined results: a null or empty text has no spans; repeated rows are treated one
-by one; other columns are kept, and those named like a result column replaced.
+Defined results: a null or empty text has no spans; very long texts are searched
+whole; spans of one kind and place (ties) are one by base, then the looser one;
+repeated rows are treated one by one; an empty table gives an empty result; other
+columns are kept whatever their names, and those that report() returns by the
+same name replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import packed, unpacked
+
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, one per kind, in the order of KINDS.
 BASE = (
@@ -112,9 +117,8 @@ def _placed(kind: int, base: bool) -> str:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs with `_base` and `_loose`, arrays of spans; a loose one that touches a base span is left out."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_text", F.col("text")).withColumn("text", text)
+    """(row, text, _base, _loose): the columns of docs, the text (null: empty) and arrays of spans; a loose one that touches a base span is left out."""
+    out = docs.select(packed(docs), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = {}
     for n, (pattern, guard) in enumerate(zip(BASE + LOOSE, GUARD_BASE + GUARD_LOOSE)):
         found[f"_m{n}"] = F.expr(f"CASE WHEN {guard} THEN regexp_extract_all(text, {_sql(pattern)}, 0) ELSE CAST(array() AS ARRAY<STRING>) END")
@@ -129,7 +133,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     meets = "s.start < {0}.stop AND {0}.start < s.stop"
     touched = f"exists(_reach, r -> {meets.format('r')} AND exists(r.b, b -> {meets.format('b')}))"
     out = out.withColumn("_loose", F.expr(f"CASE WHEN _reach IS NULL THEN _near ELSE filter(_near, s -> NOT {touched}) END"))
-    return out.drop("_near", "_reach", *(f"_{x}{n}" for x in "mp" for n in range(8))).withColumn("text", F.col("_text")).drop("_text")
+    return out.select("row", "text", "_base", "_loose")
 
 
 def _by_kind(s: Column, cases: dict[str, Column]) -> Column:
@@ -251,7 +255,7 @@ def odds(model: dict[str, dict[int, float]], s: Column) -> Column:
 
 
 def spans(docs: DataFrame, model: dict[str, dict[int, float]]) -> DataFrame:
-    """docs with `_base` and `_all`, the spans in order of kind and place."""
+    """(row, text, _base, _all): the columns of docs, the text, base spans and all spans in order of kind and place."""
     found = candidates(docs)
     added = F.filter("_loose", lambda s: odds(model, s) > 0)
     every = F.transform(F.concat("_base", added), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base")))
@@ -265,10 +269,10 @@ def _digest(column: str) -> Column:
 
 def report(docs: DataFrame, model: dict[str, dict[int, float]]) -> DataFrame:
     """docs with counts of base spans by kind, the digest of base spans and all spans as text."""
-    found = spans(docs.drop(*OUT), model)
+    found = spans(docs, model)
     kinds = F.transform("_base", lambda s: s["kind"])
-    counts = {f"n_{kind}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k, kind in enumerate(KINDS)}
-    return found.withColumns(counts | {"base_sha256": F.sha2(_digest("_base"), 256), "spans": _digest("_all")}).drop("_base", "_all")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select(*unpacked(docs, *OUT), *counts, F.sha2(_digest("_base"), 256).alias("base_sha256"), _digest("_all").alias("spans"))
 
 
 def mask(docs: DataFrame, model: dict[str, dict[int, float]]) -> DataFrame:
@@ -303,7 +307,9 @@ def mask(docs: DataFrame, model: dict[str, dict[int, float]]) -> DataFrame:
 
     pieces = F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), block)
     new = F.concat(F.array_join(pieces, ""), text.substr(F.element_at("_ends", -1) + 1, F.length(text)))
-    out = found.withColumn("text", F.when(F.size("_all") > 0, new).otherwise(text))
+    old = F.col("row")
+    masked = found.select("row", F.when(F.size("_all") > 0, new).otherwise(old["text"]).alias("text"), (F.size("_all") > 0).alias("changed"))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        made["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    return masked.select(*[made[c].alias(c) if c in made else old.getField(c).alias(c) for c in docs.columns])

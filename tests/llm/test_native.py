@@ -86,8 +86,8 @@ def test_loose_spans_that_touch_base_ones_go(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for size in (2, 256):
         monkeypatch.setattr(pii, "BLOCK", size)
-        kept = {r.doc_id: [(s.start, s.stop) for s in r._loose] for r in pii.candidates(docs).collect()}
-        base = {r.doc_id: [(s.start, s.stop) for s in r._base] for r in pii.candidates(docs).collect()}
+        kept = {r.row.doc_id: [(s.start, s.stop) for s in r._loose] for r in pii.candidates(docs).collect()}
+        base = {r.row.doc_id: [(s.start, s.stop) for s in r._base] for r in pii.candidates(docs).collect()}
         assert [len(kept[n]) for n in range(3)] == [40, 1, 1]
         assert not any(a < z and b < y for n in kept for a, y in kept[n] for b, z in base[n])
 
@@ -113,11 +113,46 @@ def test_layouts_become_turns(spark):
     for r in chat.canonical(df).collect():
         turns = [(t.role, t.text) for t in r.turns]
         assert (r.layout, turns) == ((r.name, [("user", "q"), ("assistant", "a")]) if r.name in records else (None, []))
+    nested = {"nested_prompt": {"data": {"prompt": "q", "response": "a"}}, "dialogue": {"data": {"id": 7, "dialogue": {"items": [{"speaker": "user", "utterance": "q"}, {"speaker": "model", "utterance": "a"}]}}}}
+    for r in chat.canonical(spark.createDataFrame([(k, json.dumps(v)) for k, v in nested.items()], "name string, record string")).collect():
+        assert (r.layout, [(t.role, t.text) for t in r.turns]) == (r.name, [("user", "q"), ("assistant", "a")])
     extra = json.dumps({"instruction": "q", "output": "a", "input": "i", "system": "s"})
     got = chat.canonical(spark.createDataFrame([(extra,)], "record string")).first()
     assert [(t.role, t.text) for t in got.turns] == [("system", "s"), ("user", "q"), ("user", "i"), ("assistant", "a")]
 
 
+def test_field_paths_at_any_depth(spark):
+    deep = {"a": [{"b": {"c": [[{"d": 1}], [{"e": None}]]}}, {"f": "x"}], "g h": {"i": []}, 'k"q': "v: \"z\\", "s": '{"no": [1]}'}
+    want = ["a", "a[].b", "a[].b.c", "a[].b.c[][].d", "a[].b.c[][].e", "a[].f", "g h", "g h.i", "k~q", "s"]
+    rows = [(json.dumps(deep),), (json.dumps(deep, indent=1),), ('[{"x": 1}]',), ("",), (None,)]
+    got = [r.p for r in spark.createDataFrame(rows, "r string").select(chat.field_paths(F.col("r")).alias("p")).collect()]
+    assert got == [want, want, ["[].x"], [], []]
+
+
+def test_a_turn_beyond_the_json_readers_limit_is_kept(spark):
+    rows = spark.range(2).select(
+        F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("ab"), 10_500_000).alias("text")
+    )
+    got = chat.digest(chat.render(chat.canonical(chat.records_of(rows)))).first()
+    text = "ab" * 10_500_000
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, 21_000_000, hashlib.sha256(text.encode()).hexdigest())
+    assert got.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_conversations_are_dealt_over_all_list_layouts(spark, sf_dir):
+    records = chat.canonical(chat.records_of(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    assert {r.layout for r in records.select("layout").distinct().collect()} == {k.name for k in chat.LAYOUTS if k.turns}
+
+
+def test_blocks_of_loss_spans_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(1, json.dumps({"turns": [{"role": ("user", "assistant")[k % 2], "text": "x" * k} for k in range(23)]})), (2, "{}")], "conv_id long, record string")
+    found = []
+    for size in (1, 4, 256):
+        monkeypatch.setattr(chat, "BLOCK", size)
+        found.append([(r.formatted, r.loss) for r in chat.render(chat.canonical(df)).orderBy("conv_id").collect()])
+    assert found[0] == found[1] == found[2] and len(found[0][0][1]) == 11
+
+
 def test_render_and_parse_give_turns_back(spark):
     texts = ["</s>[INST] ok [/INST]", "\\", "\\.", "\\\\.</s", "<", "", "[INS[INST]T]", "a\né\U0001f600 </s></s>", "[/INST]" * 500, " [/INST]x"]
     turns = [{"role": r, "text": t} for t in texts for r in ("user", "assistant", "[INST]", "")]
@@ -153,9 +188,9 @@ def test_mix(spark):
     assert all(r.taken <= 2 * r.size for r in mixed)
     taken = sum(r.taken for r in mixed if r.source == "a")
     assert abs(taken - by["a"].target) < 0.1 * by["a"].target
-    copies = mixing.emit(mixing.mix(docs)).collect()
+    copies = mixing.emit(docs).collect()
     assert sum(len((r.text or "").split()) for r in copies) == sum(r.taken for r in mixed)
-    assert sorted(map(str, copies)) == sorted(map(str, mixing.emit(mixing.mix(docs)).collect()))
+    assert sorted(map(str, copies)) == sorted(map(str, mixing.emit(docs).collect()))
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
@@ -173,6 +208,16 @@ def test_target_levels_by_iteration(spark):
     assert got == pytest.approx({s: 2.0 * sizes[s] if s in capped else level * weights[s] for s in sizes})
 
 
+def test_targets_of_many_sources(spark):
+    """Thousands of sources, an empty one among them, by the oracle's SQL."""
+    import duckdb
+
+    docs = spark.range(6000).select("id", F.concat(F.lit("s"), (F.col("id") % 3000).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text"))
+    docs = docs.withColumnRenamed("id", "doc_id")
+    documents = docs.toPandas()  # noqa: F841  read by name
+    same(mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken").toPandas(), duckdb.sql(mixing.ORACLE_SQL).df())
+
+
 def test_canonical_urls(spark):
     pairs = [
         ("HTTP://www.Ex.com:80/a/?b=2&utm_source=x&a=1#top", "ex.com/a?a=1&b=2"), ("https://ex.com/a?a=1&b=2", "ex.com/a?a=1&b=2"), ("ex.com", "ex.com"),
@@ -198,3 +243,15 @@ def test_revisits(spark):
         }
         assert got[2].merged == {"etag": "W/A", "content-type": "t", "date": "2", "content-length": "9"}
     assert warc.resolve(df.limit(0)).count() == 0
+
+
+def test_one_odd_time_does_not_gather_the_rest(spark):
+    """Slices are cut at quantiles; repeated records and ids have one result."""
+    rows = [(k, "http://x/a", 10**9 + k, "response" if k % 50 == 0 else "revisit", {"etag": str(k // 50)}) for k in range(2000)] + [(9000, "http://x/a", 0, "response", {"etag": "z"})]
+    df = spark.createDataFrame(rows + rows[:60], "record_id long, url string, ts long, kind string, headers map<string,string>")
+    got = warc.resolve(df, 16).collect()
+    assert len(got) == len(rows) + 60 and all(r.outcome in ("full", "resolved") for r in got)
+    assert all(r.refers_to == r.record_id // 50 * 50 for r in got if r.kind == "revisit")
+    cuts = df.agg(F.percentile_approx("ts", F.array(*[F.lit(k / 16) for k in range(1, 16)]), 10_000)).first()[0]
+    sizes = [sum((a or -1) < r[2] <= b for r in rows) for a, b in zip([None, *cuts], cuts)]
+    assert max(sizes) < 300
