@@ -8,11 +8,15 @@ distance. Piece hits are found for a whole batch at once: a hash of the first 16
 
 Texts and items are compared in lower case with each run of white space as one
 space. Items are a query set: they go to the executors in blocks of a bounded
-size (ITEM_BYTES of item text), each block against all documents.
-
-Defined results: null and empty texts and items match nothing; items of equal
-text are each reported; a repeated row is reported each time; of several
-occurrences of an item in a document the closest, then first, is reported.
+size (ITEM_BYTES of item text), each block against all documents. One block is
+out at a time: its finds, or the rows that pass it, are written to the shared folder
+before the next one goes.
+
+Defined results: null and empty texts and items match nothing; very long texts are
+searched whole; items of equal text are each reported; a repeated row is reported
+each time; of several occurrences of an item in a document the closest, then first
+(ties), is reported; an empty table of documents or items finds nothing. Of docs
+only doc_id and text are read, and clean() returns all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, texts
+from .shared import materialise, release, texts
 
 RATE = 0.08
 #: Item text that one scan of the documents takes along.
@@ -33,7 +37,7 @@ ITEM_BYTES = 8 << 20
 SEARCH_BYTES = 4 << 20
 _BITS = 22
 _GAP = b"\x00" * 16
-_SCHEMA = "doc_id long, item_id long, distance int, start long, stop long"
+_SCHEMA = "doc_id long, item_id long, distance int, start long, stop long, text_start long, text_stop long"
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -42,6 +46,21 @@ def normal(text: str) -> str:
     return " ".join(text.replace("\x00", " ").lower().split())
 
 
+def original_places(text: str) -> list[tuple[int, int]]:
+    """For each character of normal(text), the span of text that it stands for."""
+    out: list[tuple[int, int]] = []
+    gap = -1
+    for i, c in enumerate(text.replace("\x00", " ")):
+        if c.isspace():
+            gap = i if gap < 0 else gap
+            continue
+        if gap >= 0 and out:
+            out.append((gap, i))
+        gap = -1
+        out += [(i, i + 1)] * len(c.lower())
+    return out
+
+
 def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     """(distance, end) of the closest substring of text within limit, the first such end; None if there is none."""
     m = len(pattern)
@@ -188,13 +207,16 @@ def blocks(items: DataFrame, size: int = ITEM_BYTES) -> Iterator[list[tuple[int,
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, distance, start, stop) of items that occur in documents; places are in the normal form of the text."""
+    """(doc_id, item_id, distance, start, stop, text_start, text_stop) of items that occur in documents.
+
+    start and stop are places in the normal form of the text, text_start and text_stop in the text itself.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     found = None
     for block in blocks(items):
         shared = spark.sparkContext.broadcast(block)
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_searcher(shared, rate), _SCHEMA)
+        part = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_searcher(shared, rate), _SCHEMA), "contaminated")
+        shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], _SCHEMA)
 
@@ -202,25 +224,30 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
 def _searcher(shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = PieceIndex(shared.value, rate)
-        names = ["doc_id", "item_id", "distance", "start", "stop"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-
-        def searched(ids: list, held: list[str]) -> pa.RecordBatch:
-            rows = [(ids[d], index.items[n][0], k, s, e) for d, n, k, s, e in index.search(held)]
-            columns = list(zip(*rows)) or [[]] * 5
+        names = ["doc_id", "item_id", "distance", "start", "stop", "text_start", "text_stop"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+
+        def searched(ids: list, raw: list[str], held: list[str]) -> pa.RecordBatch:
+            rows, last, places = [], -1, []
+            for d, n, k, s, e in index.search(held):
+                if d != last:
+                    last, places = d, original_places(raw[d])
+                rows.append((ids[d], index.items[n][0], k, s, e, places[s][0], places[e - 1][1]))
+            columns = list(zip(*rows)) or [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         for batch in batches:
-            ids, held, size = [], [], 0
+            ids, raw, held, size = [], [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 ids.append(doc_id)
+                raw.append(text)
                 held.append(normal(text))
                 size += len(held[-1])
                 if size > SEARCH_BYTES:
-                    yield searched(ids, held)
-                    ids, held, size = [], [], 0
+                    yield searched(ids, raw, held)
+                    ids, raw, held, size = [], [], [], 0
             if ids:
-                yield searched(ids, held)
+                yield searched(ids, raw, held)
 
     return run
 
@@ -228,9 +255,15 @@ def _searcher(shared, rate: float):
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs in which no item occurs, each decided by its own text."""
     spark = docs.sparkSession
-    small_batches(spark)
+    shared = before = None
     for block in blocks(items):
-        docs = docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(block), rate, docs.columns.index("text")), docs.schema)
+        if shared is not None:  # what passed the block before is written, so that one block at a time is out
+            docs = materialise(docs, "clean")
+            shared.destroy()
+            release(before)
+            before = docs
+        shared = spark.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(_cleaner(shared, rate, docs.columns.index("text")), docs.schema)
     return docs
 
 
