@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, release, spread_join
 
 
 def _minima(pairs: DataFrame) -> DataFrame:
     """For each node the smallest of itself and its neighbours, next to every pair.
 
-    A sum-like aggregate and a join instead of a window: the aggregate combines
-    map-side, and a join's hot node can be split.
+    A min, which combines map-side, and a join that deals the pairs of one node
+    over many tasks: a component may hold a third of all nodes.
     """
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return pairs.join(low, pairs["u"] == low["k"]).select("u", "v", "m")
+    low = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+    return spread_join(pairs, low, "u").select("u", "v", "m")
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of (a, b), root being the smallest node it reaches.
 
     Ends after a number of rounds that grows with the logarithm of the edges;
-    each round is written to the shared folder, and only counts reach the driver.
+    each round is written to the shared folder, the one before deleted, and only
+    counts reach the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state = materialise(pairs, "edges")
@@ -44,5 +45,6 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before = now
+        before, old = now, state
         state = materialise(_small(_large(state).distinct()), "stars")
+        release(old)

@@ -14,9 +14,11 @@ Buckets emit a spanning forest of their links, never all pairs; components come
 from alternating stars over those edges.
 
 Defined results: a null or empty text has fingerprint 0 and links like any
-other; a text of fewer words than a shingle is one shingle; repeated rows and
-equal fingerprints share a component; a null doc_id takes part, but names a
-component only if it has no other id.
+other; a text of fewer words than a shingle is one shingle, of very long texts
+every shingle counts; repeated rows and equal fingerprints (ties) share a component;
+a null doc_id takes part, but names a component only if it has no other id; an empty
+table gives an empty result; near_duplicates reads doc_id and text only, keep_one
+returns all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .shared import materialise, small_batches, texts
+from .shared import columns, fresh, materialise, own, release, spread_join, texts
 
 WORDS = 3
 SEED = 42
@@ -71,7 +73,6 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,14 +216,15 @@ def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id, root) of every row of prints; root, the smallest fingerprint of the component, is its own even where two components share their smallest id."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("label"))
     roots = materialise(components(edges), "roots")
-    named = nodes.join(roots, nodes["fp"] == roots["node"]).select("node", "root", "label")
-    lowest = named.groupBy("root").agg(F.min("label").alias("low")).withColumnRenamed("root", "r")
-    linked = named.join(lowest, named["root"] == lowest["r"]).select("node", "low", "root")
+    member = nodes.join(roots, nodes["fp"] == roots["node"]).select("node", "root", "label")
+    lowest = member.groupBy("root").agg(F.min("label").alias("low"))
+    linked = spread_join(member, lowest, "root").select("node", "low", "root")
     found = nodes.join(linked, nodes["fp"] == linked["node"], "left")
     alone = F.col("root").isNull()
     labels = materialise(
         found.select(F.col("fp").alias("k"), F.when(alone, F.col("label")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("root")), "labels"
     )
+    release(roots)
     return prints.join(labels, prints["fp"] == labels["k"]).select("doc_id", "fp", "component_id", "root")
 
 
@@ -258,17 +260,18 @@ def kept(docs: DataFrame, rows: DataFrame, mark: Callable[[str], int]) -> DataFr
     """keep_one for the groups that rows name; mark is their fp, of a text."""
     rows = rows.where(F.col("doc_id").isNotNull())
     names = F.max(F.col("doc_id") == F.col("component_id"))
-    keepers = materialise(rows.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"), names.alias("names")).where("names"), "keepers")
-    once, often = (keepers.where(c).select("kept_id") for c in ("n = 1", "n > 1"))
+    kept_id, kept_fp, mine, row, marks, ident = fresh(docs.columns, "kept_id", "kept_fp", "mine", "row", "marks", "ident")
+    keepers = materialise(rows.groupBy(F.col("doc_id").alias(kept_id)).agg(F.count("*").alias("n"), names.alias("names")).where("names"), "keepers")
+    once, often = (keepers.where(c).select(kept_id) for c in ("n = 1", "n > 1"))
     # keepers grow with the documents: never broadcast, one plan at every size
-    stay = docs.join(once.hint("merge"), docs["doc_id"] == once["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = docs.join(once.hint("merge"), docs["doc_id"] == once[kept_id], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
     if not often.head(1):
         return stay
-    chosen = rows.where(F.col("doc_id") == F.col("component_id")).join(often, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    chosen = materialise(chosen.groupBy(F.col("doc_id").alias("kept_id"), "root").agg(F.min("fp").alias("kept_fp")), "chosen")
-    own = next(n for n in map("_fp{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
-    marked = _with_fingerprint(docs.join(often, docs["doc_id"] == often["kept_id"], "left_semi"), own, mark)
-    marked = marked.join(chosen, (marked["doc_id"] == chosen["kept_id"]) & (marked[own] == chosen["kept_fp"]), "left_semi")
-    every = F.struct(*docs.columns)
+    chosen = rows.where(F.col("doc_id") == F.col("component_id")).join(often, F.col("doc_id") == F.col(kept_id), "left_semi")
+    chosen = materialise(chosen.groupBy(F.col("doc_id").alias(kept_id), "root").agg(F.min("fp").alias(kept_fp)), "chosen")
+    marked = _with_fingerprint(docs.join(often, docs["doc_id"] == often[kept_id], "left_semi"), mine, mark)
+    marked = marked.join(chosen, (marked["doc_id"] == chosen[kept_id]) & (marked[mine] == chosen[kept_fp]), "left_semi")
+    every = F.struct(*columns(docs))
     first = F.min_by(every, F.struct(F.md5("text"), F.xxhash64(F.to_json(every))))
-    return stay.unionByName(marked.groupBy(F.col("doc_id").alias("_id"), F.col(own).alias("_own")).agg(first.alias("_row")).select("_row.*"))
+    best = marked.groupBy(F.col("doc_id").alias(ident), own(marked, mine).alias(marks)).agg(first.alias(row))
+    return stay.unionByName(best.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]))

@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, mixing, pii, quality
-from test_dedup import brute_components, by_definition
+from test_near import brute_kept
 
 
 def test_stages_and_columns(spark, sf_dir):
@@ -22,13 +22,12 @@ def test_stages_and_columns(spark, sf_dir):
 def test_run_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = {r.doc_id: r for r in docs.collect() if model.score(*(lambda o, n: (o, n, __import__("numpy").array([len(n)])))(*quality.document_lines(r.text)))[0] >= 0.7}
-    ids = sorted(rows)
-    keep = [i for i, c in zip(ids, brute_components([(i, f"{by_definition(rows[i].text):x}") for i in ids])) if i == c]
+    rows = {r.doc_id: r for r in docs.collect() if next(model.scores(iter([r.text]))) >= 0.7}
+    keep = brute_kept({i: r.text for i, r in rows.items()})
     items = decontaminate.PieceIndex([(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     keep = [i for i in keep if not items.search([decontaminate.normal(rows[i].text)])]
     left = spark.createDataFrame([rows[i] for i in keep], docs.schema)
     masked = pii.mask(left, pii.fit(left))
-    want = sorted((r.doc_id, r.text, r.copy) for r in mixing.emit(mixing.mix(masked)).collect())
+    want = sorted((r.doc_id, r.text, r.copy) for r in mixing.emit(masked).collect())
     got = sorted((r.doc_id, r.text, r.copy) for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert 0 < len(keep) < len(rows) < docs.count() and got == want
