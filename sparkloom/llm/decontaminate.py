@@ -263,22 +263,25 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
             release(before)
             before = docs
         shared = spark.sparkContext.broadcast(block)
-        docs = docs.mapInArrow(_cleaner(shared, rate, docs.columns.index("text")), docs.schema)
+        docs = docs.where(_free(shared, rate)(docs["text"]))
     return docs
 
 
-def _cleaner(shared, rate: float, column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _free(shared, rate: float):
+    """A function that says of a text that no item of a block occurs in it."""
+
+    @F.arrow_udf("boolean")
+    def free(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = PieceIndex(shared.value, rate)
         for batch in batches:
-            keep, held, size, first = [True] * batch.num_rows, [], 0, 0
-            for n, value in enumerate(batch.column(column)):
+            keep, held, size, first = [True] * len(batch), [], 0, 0
+            for n, value in enumerate(batch):
                 held.append(normal(value.as_py() or ""))
                 size += len(held[-1])
-                if size > SEARCH_BYTES or n + 1 == batch.num_rows:
+                if size > SEARCH_BYTES or n + 1 == len(batch):
                     for d, *_ in index.search(held):
                         keep[first + d] = False
                     held, size, first = [], 0, n + 1
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.array(keep, pa.bool_())
 
-    return run
+    return free

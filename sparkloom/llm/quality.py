@@ -290,11 +290,10 @@ def keep_good(docs: DataFrame, model: Field | float) -> DataFrame:
     """The rows of docs that the classifier accepts; a model without both classes rejects nothing."""
     if not isinstance(model, Field):
         return docs
-    column = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            good = [s >= THRESHOLD for s in _scored(model, (v.as_py() or "" for v in batch.column(column)))]
-            yield batch.filter(pa.array(good, pa.bool_()))
+            yield pa.array([s >= THRESHOLD for s in model.scores(v.as_py() or "" for v in batch)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(docs["text"]))

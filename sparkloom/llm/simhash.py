@@ -31,7 +31,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .shared import columns, fresh, materialise, own, release, spread_join, texts
@@ -235,15 +234,13 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
 def _with_fingerprint(docs: DataFrame, name: str, mark: Callable[[str], int]) -> DataFrame:
     """docs with one more column, what mark says of the text."""
-    column = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("long")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            found = pa.array([mark(t.as_py() or "") for t in batch.column(column)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, name])
+            yield pa.array([mark(t.as_py() or "") for t in batch], pa.int64())
 
-    return docs.mapInArrow(run, schema)
+    return docs.withColumn(name, marked(docs["text"]))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, seed: int = SEED, limit: int = BITS) -> DataFrame:
