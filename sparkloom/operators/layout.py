@@ -3,32 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.exprs import salt
 
 
-def salted_sum(df: DataFrame, key: str, value: str, row_id: Column, salts: int = 8, hot: list | None = None) -> DataFrame:
-    """(key, total) in two phases: by key and salt, then by key. With `hot`, only those keys are salted.
+def salted_sum(df: DataFrame, key: str, value: str, row_id: Column, salts: int = 8, hot: list | Column | None = None) -> DataFrame:
+    """(key, total) in two phases: by key and salt, then by key. With `hot`, keys or a condition, only those rows are salted.
 
     Sums combine map-side anyway; the salt matters for what can't (collect, joins)
     and is a column of its own, so keys of any form stay whole.
     """
     spread = salt(row_id, salts)
     if hot is not None:
-        spread = F.when(F.col(key).isin(hot), spread).otherwise(F.lit(0))
+        spread = F.when(F.col(key).isin(hot) if isinstance(hot, list) else hot, spread).otherwise(F.lit(0))
     first = df.groupBy(F.col(key), spread.alias("_salt")).agg(F.sum(value).alias("_part"))
     return first.groupBy(key).agg(F.sum("_part").alias("total"))
 
 
-def hot_keys(df: DataFrame, key: str, above: int) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, above: int | Column) -> DataFrame:
     """Keys of more than `above` rows, as a table (never a driver-side list)."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > above)
 
 
+def marked_hot(df: DataFrame, key: str, share: int = 4) -> DataFrame:
+    """df with `hot`: whether its key has over 1 / share of all rows. Fewer than `share` keys can, so they are broadcast."""
+    total = df.agg(F.count("*").alias("n")).scalar()
+    hot = hot_keys(df, key, F.floor(total / share)).select(F.col(key).alias("_key"), F.lit(True).alias("_hot"))
+    found = df.join(F.broadcast(hot), df[key].eqNullSafe(hot["_key"]), "left")
+    return found.withColumn("hot", F.coalesce("_hot", F.lit(False))).drop("_key", "_hot")
+
+
 def place(df: DataFrame, parts: int, part: Column) -> DataFrame:
     """Deal rows to the partition that an integer column names, and say so in `part`."""
     return df.withColumn("part", F.pmod(part, F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
@@ -39,9 +48,15 @@ def placed_counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("part"), *keys).agg(F.count("*").alias("n"))
 
 
-def co_partition(left: DataFrame, right: DataFrame, key: str, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides dealt by key and cached: joins on the key then need no shuffle. Unpersist both when done."""
-    return left.repartition(parts, key).cache(), right.repartition(parts, key).cache()
+def session_parts(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def co_partition(left: DataFrame, right: DataFrame, key: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt by key into as many partitions: joins and aggregates on the key need no shuffle of their own."""
+    parts = parts or session_parts(left.sparkSession)
+    return left.repartition(parts, key), right.repartition(parts, key)
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
@@ -50,11 +65,32 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder; a temporary one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; a session in one process gets a temporary one where none is set, a cluster an error."""
+    context = spark.sparkContext
+    where = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="sparkloom-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

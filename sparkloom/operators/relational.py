@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.layout import session_parts, shared_checkpoint
+
 #: Bytes of optimizer-estimated size up to which lookup_join broadcasts the dimension.
 BROADCAST_BYTES = 8 << 20
 
@@ -45,39 +47,48 @@ def number_stats(value: str | Column) -> list[Column]:
     ]
 
 
-def floor_percentiles(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 4096) -> DataFrame:
+def floor_percentiles(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 4096, few: int = 65_536) -> DataFrame:
     """(share, value): for each share p the element at zero-based place floor(n * p), no interpolation.
 
-    Two passes and no global sort: rows are counted in equal-width buckets, the
-    bucket that holds each place is known from the counts (at most `buckets`
-    rows), and only the values of those buckets are grouped and ranked.
+    No sort: the range that holds a place is cut into equal-width buckets, counted
+    in one pass for all shares, and the bucket that holds the place becomes the
+    next range, from its own least to its own greatest value, so outliers cost one
+    more pass and gather nothing. A range of at most `few` rows, or of one value, is
+    read off. At most `buckets` counts for each share reach the driver.
     """
     low, high, n = df.agg(F.min(value), F.max(value), F.count(value)).first()
     if not n:
         return df.select(F.lit(0.0).alias("share"), F.col(value)).limit(0)
-    width = (high - low) / buckets or 1.0
-    bucket = F.least(F.floor((F.col(value) - F.lit(low)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-    counts = {r[0]: r[1] for r in df.where(F.col(value).isNotNull()).groupBy(bucket).count().collect()}
-    wanted, before = [], 0
-    for b in sorted(counts):
-        wanted += [(float(p), b, int(n * p) - before) for p in shares if before <= min(int(n * p), n - 1) < before + counts[b]]
-        before += counts[b]
-    places = df.sparkSession.createDataFrame(wanted, "share double, bucket int, place long")
-    held = df.select(F.col(value), bucket.alias("bucket")).where(F.col("bucket").isin([b for _, b, _ in wanted])).groupBy("bucket", value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = held.withColumn("stop", upto).withColumn("start", F.col("stop") - F.col("k"))
-    hit = (ranked["bucket"] == places["bucket"]) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("stop"))
-    return ranked.join(F.broadcast(places), hit).select("share", value)
-
-
-def global_position(df: DataFrame, order: list[str], name: str = "position", partitions: int = 16) -> DataFrame:
+    spark, x = df.sparkSession, F.col(value)
+    ranges = {float(p): (low, high, min(int(n * p), n - 1), n) for p in shares}  # least, greatest, place inside, rows
+    while wide := {p: r for p, r in ranges.items() if r[0] != r[1] and r[3] > few}:
+        pieces = []
+        for p, (lo, hi, _, _) in wide.items():
+            k = F.least(F.floor((x - F.lit(lo)) / F.lit((hi - lo) / buckets or 1.0)), F.lit(buckets - 1)).cast("int")
+            pieces.append(F.when(x.between(lo, hi), F.struct(F.lit(p).alias("share"), k.alias("k"))))
+        each = df.select(value, F.explode(F.array_compact(F.array(*pieces))).alias("at"))
+        counts = each.groupBy("at.share", "at.k").agg(F.count("*").alias("rows"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
+        for p, (_, _, place, _) in wide.items():
+            for r in sorted((r for r in counts if r["share"] == p), key=lambda r: r["k"]):
+                if place < r["rows"]:
+                    ranges[p] = (r["lo"], r["hi"], place, r["rows"])
+                    break
+                place -= r["rows"]
+    kind = df.schema[value].dataType.simpleString()
+    wanted = spark.createDataFrame([(p, lo, hi, place) for p, (lo, hi, place, _) in ranges.items()], f"share double, lo {kind}, hi {kind}, place long")
+    held = df.select(x.alias("x")).join(F.broadcast(wanted), F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("share", "place", "x").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("share").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = held.withColumn("stop", upto)
+    return ranked.where((F.col("place") < F.col("stop")) & (F.col("place") >= F.col("stop") - F.col("k"))).select("share", F.col("x").alias(value))
+
+
+def global_position(df: DataFrame, order: list[str | Column], name: str = "position", partitions: int | None = None) -> DataFrame:
     """Zero-based place of each row in a total order, without gathering all rows in one task.
 
-    Rows are dealt by range and written to the checkpoint folder, so the deal is
+    Rows are dealt by range, into the session's number of partitions unless one is given, and written to the checkpoint folder, so the deal is
     fixed; counts per part (one row each) give the offsets.
     """
-    from sparkloom.operators.layout import shared_checkpoint
-
+    partitions = partitions or session_parts(df.sparkSession)
     dealt = shared_checkpoint(df.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -39,7 +39,9 @@ def test_sinks_round_trip(spark, tmp_path):
     assert files.read_text(spark, str(tmp_path / "csv"), 2).count() == 3
     assert files.first_rows(df, 1, F.desc("id"))[0].id == 2
     assert files.describe_schema(df) == [("id", "bigint"), ("name", "string")]
-    files.each_partition(df, lambda rows: [None for _ in rows])
+    seen = spark.sparkContext.accumulator(0)
+    files.each_partition(df, lambda rows: seen.add(sum(r.id for r in rows)))
+    assert seen.value == 3
 
 
 def test_tiers_bounds(spark):
@@ -116,10 +118,34 @@ def test_placement(spark, tmp_path):
     assert sorted((r.part, r.n) for r in layout.placed_counts(layout.place(df, 4, F.col("id"))).collect()) == [(k, 25) for k in range(4)]
     left, right = layout.co_partition(df, df, "id", 4)
     assert left.join(right, "id").count() == 100
-    left.unpersist(), right.unpersist()
     assert layout.shared_checkpoint(df).count() == 100
     assert layout.persisted(df, memory=False).count() == 100
     assert layout.resized(df, 8, grow=True).count() == layout.resized(df, 1).count() == 100
+    assert layout.resized(df, 8, grow=True).rdd.getNumPartitions() == 8 and layout.resized(df, 1).rdd.getNumPartitions() == 1
+
+
+def test_percentiles_with_an_outlier(spark):
+    """One far value puts all others in one bucket; the next pass cuts that bucket."""
+    df = spark.range(5000).select((F.col("id") / 7).alias("v")).unionByName(spark.createDataFrame([(1e15,), (None,)], "v double"))
+    values = sorted(r.v for r in df.where("v IS NOT NULL").collect())
+    got = {r.share: r.v for r in relational.floor_percentiles(df, "v", (0.0, 0.5, 0.95, 1.0), buckets=16, few=8).collect()}
+    assert got == {p: values[min(int(len(values) * p), len(values) - 1)] for p in (0.0, 0.5, 0.95, 1.0)}
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left, right = (layout.bucketed(files.numbers(spark, 0, 100), f"bucketed_{k}", "id", 4) for k in "ab")
+    joined = left.hint("merge").join(right, "id")
+    assert joined.count() == 100 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().sparkPlan().toString()
+    spark.sql("DROP TABLE bucketed_a")
+    spark.sql("DROP TABLE bucketed_b")
+
+
+def test_sample_tables_are_the_same_at_each_evaluation(spark):
+    orders, customers = files.sample_orders(spark, 500, 50), files.sample_customers(spark, 50)
+    assert orders.collect() == files.sample_orders(spark, 500, 50).collect() and customers.count() == 50
+    low, high, n = orders.agg(F.min("amount"), F.max("amount"), F.count_if(F.col("orderDate").between("2024-01-01", "2024-11-26"))).first()
+    assert 100 <= low < high <= 10_000 and n == 500 and orders.join(customers, "customerNumber").count() == 500
+    assert {r.segment for r in customers.collect()} == {"Enterprise", "Premium", "Regular"}
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
