@@ -10,9 +10,15 @@ from sparkloom.plans.registry import query
 from sparkloom.sources.tables import Tables
 
 
-@query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents WHERE lang = 'en') WHERE w <> '' GROUP BY w ORDER BY n DESC, w")
+@query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY w ORDER BY n DESC, w")
 def word_count(t: Tables) -> DataFrame:
-    """English documents only, as its SQL says; word_count_all counts every line."""
+    """The words of all lines, whatever their language."""
+    return _counted(t.documents)
+
+
+@query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents WHERE lang = 'en') WHERE w <> '' GROUP BY w ORDER BY n DESC, w")
+def word_count_of_a_language(t: Tables) -> DataFrame:
+    """The filter is the feature: the words of English documents."""
     return _counted(t.documents.where(F.col("lang") == "en"))
 
 
