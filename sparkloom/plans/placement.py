@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.exprs import bands, initial_index
 from sparkloom.operators import layout
+from sparkloom.operators.relational import global_position
 from sparkloom.plans.registry import query
-from sparkloom.sources.files import skewed_keys
+from sparkloom.sources.files import local_rows, skewed_keys
 from sparkloom.sources.tables import Tables
 
 _BY_LANG = "SELECT lang, sum(n_chars)::BIGINT AS total FROM documents GROUP BY lang"
@@ -24,19 +25,16 @@ def salted_sum(t: Tables) -> DataFrame:
 @query(_BY_LANG)
 def salted_hot_only(t: Tables) -> DataFrame:
     """Only keys with over a quarter of the rows are salted (at most three keys can be)."""
-    rows = t.documents.select("doc_id", "lang", "n_chars")
-    hot = [r.lang for r in layout.hot_keys(rows, "lang", rows.count() // 4).collect()]
-    return layout.salted_sum(rows, "lang", "n_chars", F.col("doc_id"), salts=16, hot=hot)
+    rows = layout.marked_hot(t.documents.select("doc_id", "lang", "n_chars"), "lang")
+    return layout.salted_sum(rows, "lang", "n_chars", F.col("doc_id"), salts=16, hot=F.col("hot"))
 
 
 @query(_BY_LANG)
 def hot_cold_union(t: Tables) -> DataFrame:
     """Hot keys salted, cold ones (a null key with them) summed plainly, both together."""
-    rows = t.documents.select("doc_id", "lang", "n_chars")
-    hot = [r.lang for r in layout.hot_keys(rows, "lang", rows.count() // 4).collect()]
-    is_hot = F.coalesce(F.col("lang").isin(hot), F.lit(False))
-    warm = layout.salted_sum(rows.where(is_hot), "lang", "n_chars", F.col("doc_id"))
-    cold = rows.where(~is_hot).groupBy("lang").agg(F.sum("n_chars").alias("total"))
+    rows = layout.marked_hot(t.documents.select("doc_id", "lang", "n_chars"), "lang")
+    warm = layout.salted_sum(rows.where("hot"), "lang", "n_chars", F.col("doc_id"))
+    cold = rows.where("NOT hot").groupBy("lang").agg(F.sum("n_chars").alias("total"))
     return warm.unionByName(cold)
 
 
@@ -45,6 +43,50 @@ def skewed_generator(t: Tables) -> DataFrame:
     return layout.salted_sum(skewed_keys(t.spark, 10_000), "key", "value", F.col("value"))
 
 
+@query("SELECT salts, lang, sum(n_chars)::BIGINT AS total FROM documents, (VALUES (4), (8), (16)) s(salts) GROUP BY ALL")
+def salts_compared(t: Tables) -> DataFrame:
+    """The salted sum with 4, 8 and 16 salts."""
+    rows = t.documents.select("doc_id", "lang", "n_chars")
+    each = [layout.salted_sum(rows, "lang", "n_chars", F.col("doc_id"), n).select(F.lit(n).alias("salts"), "lang", "total") for n in (4, 8, 16)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("SELECT CASE WHEN i < 900000 THEN 'hot' ELSE 'key_' || ((i - 900000) % 100) END AS key, count(*)::BIGINT AS n FROM range(1000000) r(i) GROUP BY ALL")
+def hot_generator(t: Tables) -> DataFrame:
+    """A million pairs of which nine tenths have one key, the rest a hundred."""
+    return skewed_keys(t.spark, 1_000_000, 0.9, 100, "hot", "key_").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("SELECT ((dense_rank() OVER (ORDER BY n_name) - 1) % 4)::INT AS part, n_name FROM nation")
+def partition_by_sorted_index(t: Tables) -> DataFrame:
+    """Keys dealt by their place among the sorted distinct keys, modulo four."""
+    places = global_position(t.nation.select(F.col("n_name").alias("key")).distinct(), ["key"], "place")
+    known = t.nation.select("n_name").join(places, F.col("n_name") == F.col("key"))
+    return layout.place(known.select("n_name", "place"), 4, F.col("place")).select(F.spark_partition_id().alias("part"), "n_name")
+
+
+@query("SELECT * FROM (VALUES ('grown', 12), ('merged', 3), ('repartitioned', 6)) v(step, parts)")
+def partition_counts(t: Tables) -> DataFrame:
+    """Partitions that hold rows after growing, merging neighbours and dealing anew."""
+    rows = t.orders.select("o_orderkey")
+    grown = layout.resized(rows, 12, grow=True)
+    steps = {"grown": grown, "merged": layout.resized(grown, 3), "repartitioned": layout.resized(rows, 6, grow=True)}
+    each = [df.select(F.lit(k).alias("step"), F.spark_partition_id().alias("p")).groupBy("step").agg(F.countDistinct("p").cast("int").alias("parts")) for k, df in steps.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("SELECT level, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES ('disk'), ('memory'), ('memory_and_disk')) v(level) GROUP BY level")
+def persist_levels(t: Tables) -> DataFrame:
+    """Aggregates over a table kept at each storage level, which is given back before the result is."""
+    out = []
+    for level, kept in (("disk", {"memory": False}), ("memory", {"disk": False}), ("memory_and_disk", {})):
+        rows = layout.persisted(t.orders.select(F.col("o_totalprice").alias("v")), **kept)
+        n, total = rows.agg(F.count("*"), F.round(F.sum("v"), 2)).first()
+        rows.unpersist()
+        out.append((level, n, total))
+    return local_rows(t.spark, out, "level string, n long, total double")
+
+
 @query("SELECT (c_nationkey % 4)::INT AS part, c_nationkey, count(*)::BIGINT AS n FROM customer GROUP BY ALL")
 def partition_by_nation(t: Tables) -> DataFrame:
     return layout.placed_counts(layout.place(t.customer, 4, F.col("c_nationkey")), "c_nationkey")

@@ -110,3 +110,40 @@ def derived_numbers(t: Tables) -> DataFrame:
     for _ in range(10):
         out = out.withColumn("plus10", F.col("plus10") + 1)
     return out
+
+
+@query(
+    "SELECT o_orderkey, coalesce(year(try_strptime(raw, '%Y-%m-%d')) = 1996, false) AS in_1996, strftime(try_strptime(raw, '%Y-%m-%d'), '%Y-%m-%d') AS day "
+    "FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'n/a' WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS raw FROM orders)"
+)
+def dates_from_text(t: Tables) -> DataFrame:
+    """Days parsed from text; what is no day is null and fails the test of its year."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    raw = F.when(key % 5 == 0, "n/a").when(key % 7 == 0, F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    day = F.try_to_date(raw, "yyyy-MM-dd")
+    return t.orders.select("o_orderkey", F.coalesce(F.year(day) == 1996, F.lit(False)).alias("in_1996"), F.date_format(day, "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "SELECT o_orderkey, strftime(o_orderdate::DATE + 30, '%Y-%m-%d') AS due, year(o_orderdate)::INT AS year, (o_orderdate::DATE - DATE '1995-01-01')::INT AS age FROM orders"
+)
+def date_parts(t: Tables) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    return t.orders.select("o_orderkey", F.date_format(F.date_add(day, 30), "yyyy-MM-dd").alias("due"), F.year("o_orderdate").alias("year"), F.date_diff(day, F.lit("1995-01-01").cast("date")).alias("age"))
+
+
+@query("SELECT p_partkey, power(p_size, 2)::DOUBLE AS square, round(sqrt(p_retailprice), 6) AS root FROM part")
+def powers(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.pow("p_size", F.lit(2.0)).alias("square"), F.round(F.sqrt("p_retailprice"), 6).alias("root"))
+
+
+@query(
+    "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS rank, split_part(o_orderpriority, '-', -1) AS name, split_part(key || '_' || (o_orderkey % 4), '_', 1) AS plain "
+    "FROM (SELECT o_orderkey, o_orderpriority, 'k' || (o_orderkey % 10) AS key FROM orders)"
+)
+def substring_forms(t: Tables) -> DataFrame:
+    """Parts before the first and after the last mark; a salted key cut back to the key."""
+    key = F.col("o_orderkey")
+    salted = F.concat(F.lit("k"), (key % 10).cast("string"), F.lit("_"), (key % 4).cast("string"))
+    priority = F.col("o_orderpriority")
+    return t.orders.select("o_orderkey", F.substring_index(priority, "-", 1).alias("rank"), F.substring_index(priority, "-", -1).alias("name"), F.substring_index(salted, "_", 1).alias("plain"))
