@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, media, mixing, pii, quality, simhash, toxicity, warc
+from . import chat, codes, decontaminate, licenses, media, mixing, pii, quality, simhash, toxicity, warc
 from .shared import table
 
 
@@ -62,6 +62,10 @@ def op10_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> Dat
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_simhash_gray_index,
         op10_factorization_machine_toxicity,
+        op11_delta_lloyd_codes,
     )
 }
 
@@ -83,4 +88,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE_SQL,
     "op5_revisit_resolution": warc.ORACLE_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
+    "op11_delta_lloyd_codes": codes.ORACLE_SQL,
 }
