@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, licenses, media, mixing, pii, quality, simhash, toxicity, warc
+from . import chat, codes, decontaminate, licenses, media, mixing, pii, quality, simhash, toxicity, trie, warc
 from .shared import table
 
 
@@ -66,6 +66,10 @@ def op11_delta_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_simhash_gray_index,
         op10_factorization_machine_toxicity,
         op11_delta_lloyd_codes,
+        op12_conversation_prefix_trie,
     )
 }
 
@@ -89,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op5_revisit_resolution": warc.ORACLE_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
     "op11_delta_lloyd_codes": codes.ORACLE_SQL,
+    "op12_conversation_prefix_trie": trie.ORACLE_SQL,
 }
