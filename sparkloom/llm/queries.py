@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontaminate, licenses, media, mixing, pii, quality, simhash, toxicity, trie, warc
+from . import chat, codes, decontaminate, licenses, maintext, media, mixing, pii, quality, simhash, toxicity, trie, warc
 from .shared import table
 
 
@@ -70,6 +70,11 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return trie.nodes(table(spark, sf_dir, "conversations"))
 
 
+def op13_minimum_cut_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return maintext.extract(pages, maintext.fit(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_factorization_machine_toxicity,
         op11_delta_lloyd_codes,
         op12_conversation_prefix_trie,
+        op13_minimum_cut_main_text,
     )
 }
 
