@@ -38,6 +38,29 @@ def marked_hot(df: DataFrame, key: str, share: int = 4) -> DataFrame:
     return found.withColumn("hot", F.coalesce("_hot", F.lit(False))).drop("_key", "_hot")
 
 
+def skew_join(facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner", rows: int = 1_000_000, salts: int | None = None, row_id: Column | None = None, counted: DataFrame | None = None, keep: bool = False) -> DataFrame:
+    """Join facts with the rows of dimension of the same key, where few keys may hold most facts.
+
+    Keys of more than `rows` facts are found inside the plan, and each gets a salt for every
+    `rows` of them (or `salts`); only their dimension rows are repeated, once a salt. All others, and
+    null keys, which are dealt at random, join as they would. Such keys are at most one for each `rows`
+    facts; their table is small, but the planner decides by its size how it is joined. The salt is a hash of
+    row_id, by default of all columns, so a task that is run again deals alike. how: inner or left (facts on the left).
+    counted: a cheaper table with the same keys as often, to count by. keep: also give `salt`.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("a repeated dimension can only be on the side whose own rows don't count")
+    salted = (counted if counted is not None else facts).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_hot").isNotNull() & (F.col("_n") > rows))
+    salted = salted.select("_hot", (F.lit(salts) if salts else F.ceil(F.col("_n") / rows)).cast("int").alias("_salts"))
+    deal = F.xxhash64(*([row_id] if row_id is not None else facts.columns))
+    many = facts.join(salted, facts[key] == salted["_hot"], "left").drop("_hot")
+    many = many.withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(deal, F.lit(1 << 20))).otherwise(F.pmod(deal, F.coalesce("_salts", F.lit(1)))).cast("int")).drop("_salts")
+    one = dimension.join(salted, dimension[key] == salted["_hot"], "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
+    one = one.drop("_hot", "_salts").withColumnRenamed(key, "_key")
+    joined = many.join(one, (many[key] == one["_key"]) & (many["_salt"] == one["_copy"]), how).drop("_key", "_copy")
+    return joined.withColumnRenamed("_salt", "salt") if keep else joined.drop("_salt")
+
+
 def place(df: DataFrame, parts: int, part: Column) -> DataFrame:
     """Deal rows to the partition that an integer column names, and say so in `part`."""
     return df.withColumn("part", F.pmod(part, F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
@@ -59,39 +82,74 @@ def co_partition(left: DataFrame, right: DataFrame, key: str, parts: int | None
     return left.repartition(parts, key), right.repartition(parts, key)
 
 
-def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """Save as a bucketed, sorted table; later joins and aggregates on the key read it without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return df.sparkSession.table(name)
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df saved in buckets of the key, sorted in each: joins and aggregates on the key read it without a shuffle.
+
+    The table's name leaves the catalogue at once; its files are in the shared folder until the driver's JVM ends or forget().
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    path = shared_path(spark, "bucketed")
+    df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    table = spark.table(name).select("*")
+    table.schema  # resolved while the name is known  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    table.written_path = path
+    return table
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir; a session in one process gets a temporary one where none is set, a cluster an error."""
     context = spark.sparkContext
-    where = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not where:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="sparkloom-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what is written there goes when the driver's JVM ends."""
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark itself sees them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: Folders of applications that go when the driver's JVM ends.
+_watched: set[str] = set()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder inside the shared one; what is left of it goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/sparkloom/{spark.sparkContext.applicationId}"
+    if path not in _watched:
+        _watched.add(path)
+        where, files = hadoop_path(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
     return path
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the cluster's shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in this application's scratch folder."""
+    return f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and fixes what was dealt by chance."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.mode("overwrite").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what was written for df; only once nothing reads it any more."""
+    path = df.__dict__.pop("written_path", None)
+    if path:
+        where, files = hadoop_path(df.sparkSession, path)
+        files.delete(where, True)
 
 
 def persisted(df: DataFrame, memory: bool = True, disk: bool = True) -> DataFrame:

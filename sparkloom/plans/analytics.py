@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.exprs import day, month, tiers
-from sparkloom.operators.relational import floor_percentiles, global_position
+from sparkloom.operators.layout import place, placed_counts
+from sparkloom.operators.relational import floor_percentiles, global_position, prefix_sums, region
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import Tables
 
@@ -81,10 +82,33 @@ def first_order_per_customer(t: Tables) -> DataFrame:
     "(SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, sum(o_totalprice) AS s, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1) ORDER BY day"
 )
 def running_revenue(t: Tables) -> DataFrame:
-    """Running total over days; the window runs over one row per day."""
+    """Running total over days: prefix sums over ranges of days, no window over all of them."""
     days = t.orders.groupBy(day(F.col("o_orderdate")).alias("day")).agg(F.sum("o_totalprice").alias("s"))
-    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select("day", F.round("s", 2).alias("revenue"), F.round(F.sum("s").over(upto), 2).alias("running")).orderBy("day")
+    summed = prefix_sums(days, ["day"], {"running": F.col("s")})
+    return summed.select("day", F.round("s", 2).alias("revenue"), F.round("running", 2).alias("running")).orderBy("day")
+
+
+@query(
+    "SELECT o_orderkey, sum(cents) OVER w::BIGINT AS running_cents, (row_number() OVER w)::BIGINT AS orders_so_far FROM (SELECT o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) "
+    "WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)"
+)
+def running_per_order(t: Tables) -> DataFrame:
+    """Two running sums over every order, by date and key: exact, as cents are whole."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = t.orders.select("o_orderkey", "o_orderdate", cents.alias("cents"))
+    summed = prefix_sums(rows, ["o_orderdate", "o_orderkey"], {"running_cents": F.col("cents"), "orders_so_far": F.lit(1).cast("long")})
+    return summed.select("o_orderkey", "running_cents", "orders_so_far")
+
+
+@query(
+    "WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS k, count(*) OVER () AS n FROM orders), q AS (SELECT v FROM r, (VALUES (0.25), (0.5), (0.75)) s(p) WHERE k = floor(n * p::DOUBLE)) "
+    "SELECT part::INT AS part, count(*)::BIGINT AS n FROM (SELECT (SELECT count(*) FROM q WHERE q.v <= o_totalprice) AS part FROM orders) GROUP BY part"
+)
+def partition_by_quartile(t: Tables) -> DataFrame:
+    """Orders dealt to four partitions by ranges of price whose bounds the sketch and one count of its brackets give."""
+    prices = t.orders.select("o_totalprice")
+    bounds = [r["o_totalprice"] for r in floor_percentiles(prices, "o_totalprice", (0.25, 0.5, 0.75)).orderBy("share").collect()]
+    return placed_counts(place(prices, 4, region(F.col("o_totalprice"), bounds)))
 
 
 @query("SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1)::BIGINT AS position FROM orders")

@@ -110,8 +110,8 @@ def null_keys_after_join(t: Tables) -> DataFrame:
 def hot_keys_filter(t: Tables) -> DataFrame:
     """Rows of keys that hold over a fifth of all rows: a semi join with the table of such keys."""
     rows = t.documents.select("lang")
-    n = rows.count()
-    return rows.join(layout.hot_keys(rows, "lang", n // 5), "lang", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    return rows.join(layout.hot_keys(rows, "lang", F.floor(total / 5)), "lang", "left_semi").groupBy("lang").agg(F.count("*").alias("n"))
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 = 0")

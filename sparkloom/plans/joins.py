@@ -162,3 +162,23 @@ def join_plain(t: Tables) -> DataFrame:
 def join_broadcast_inner(t: Tables) -> DataFrame:
     nations = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     return lookup_join(t.supplier.select("s_suppkey", "s_nationkey"), nations, "s_nationkey", "inner").select("s_suppkey", "n_name")
+
+
+@query("SELECT doc_id, source, n_chars / total AS share FROM (SELECT doc_id, source, n_chars::DOUBLE AS n_chars, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents) WHERE source IS NOT NULL")
+def join_skewed(t: Tables) -> DataFrame:
+    """Each document's share of its source. Sources of more than an eighth of the documents are salted, and only their totals repeated."""
+    docs = t.documents.select("doc_id", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    totals = docs.groupBy("source").agg(F.sum("n_chars").alias("total"))
+    rows = max(1, t.documents.count() // 8)  # parquet footers give the number
+    joined = layout.skew_join(docs, totals, "source", rows=rows, row_id=F.col("doc_id"))
+    return joined.select("doc_id", "source", (F.col("n_chars") / F.col("total")).alias("share"))
+
+
+@query("SELECT o_orderkey, o_custkey, count(*)::BIGINT AS lines, sum(l_quantity) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_custkey")
+def join_bucketed(t: Tables) -> DataFrame:
+    """Both tables saved in buckets of the order's key: the join and the aggregate by it read them without any exchange."""
+    buckets = layout.session_parts(t.spark)
+    orders = layout.bucketed(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey", buckets)
+    lines = layout.bucketed(t.lineitem.select("l_orderkey", "l_quantity"), "l_orderkey", buckets)
+    joined = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))

@@ -82,7 +82,7 @@ def test_month_range_is_half_open_and_pushed(spark, sf_dir):
 
 def test_floor_percentiles(spark):
     df = spark.createDataFrame([(float(v),) for v in range(10)], "v double")
-    got = {r.share: r.v for r in relational.floor_percentiles(df, "v", (0.0, 0.25, 0.5, 0.95), buckets=3).collect()}
+    got = {r.share: r.v for r in relational.floor_percentiles(df, "v", (0.0, 0.25, 0.5, 0.95)).collect()}
     assert got == {0.0: 0.0, 0.25: 2.0, 0.5: 5.0, 0.95: 9.0}
     one = spark.createDataFrame([(3.0,)], "v double")
     assert [r.v for r in relational.floor_percentiles(one, "v", (0.5,)).collect()] == [3.0]
@@ -118,7 +118,7 @@ def test_placement(spark, tmp_path):
     assert sorted((r.part, r.n) for r in layout.placed_counts(layout.place(df, 4, F.col("id"))).collect()) == [(k, 25) for k in range(4)]
     left, right = layout.co_partition(df, df, "id", 4)
     assert left.join(right, "id").count() == 100
-    assert layout.shared_checkpoint(df).count() == 100
+    assert layout.written(df, "hundred").count() == 100
     assert layout.persisted(df, memory=False).count() == 100
     assert layout.resized(df, 8, grow=True).count() == layout.resized(df, 1).count() == 100
     assert layout.resized(df, 8, grow=True).rdd.getNumPartitions() == 8 and layout.resized(df, 1).rdd.getNumPartitions() == 1
@@ -128,16 +128,15 @@ def test_percentiles_with_an_outlier(spark):
     """One far value puts all others in one bucket; the next pass cuts that bucket."""
     df = spark.range(5000).select((F.col("id") / 7).alias("v")).unionByName(spark.createDataFrame([(1e15,), (None,)], "v double"))
     values = sorted(r.v for r in df.where("v IS NOT NULL").collect())
-    got = {r.share: r.v for r in relational.floor_percentiles(df, "v", (0.0, 0.5, 0.95, 1.0), buckets=16, few=8).collect()}
+    got = {r.share: r.v for r in relational.floor_percentiles(df, "v", (0.0, 0.5, 0.95, 1.0), k=8).collect()}
     assert got == {p: values[min(int(len(values) * p), len(values) - 1)] for p in (0.0, 0.5, 0.95, 1.0)}
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark):
-    left, right = (layout.bucketed(files.numbers(spark, 0, 100), f"bucketed_{k}", "id", 4) for k in "ab")
-    joined = left.hint("merge").join(right, "id")
-    assert joined.count() == 100 and "Exchange hashpartitioning" not in joined._jdf.queryExecution().sparkPlan().toString()
-    spark.sql("DROP TABLE bucketed_a")
-    spark.sql("DROP TABLE bucketed_b")
+    left, right = (layout.bucketed(files.numbers(spark, 0, 100), "id", 4) for _ in "ab")
+    joined = left.hint("merge").join(right, "id").groupBy("id").count()
+    assert joined.count() == 100 and not [n for n in spark.catalog.listTables() if n.name.startswith("bucketed_")]
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_sample_tables_are_the_same_at_each_evaluation(spark):
