@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -12,45 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
-_watched: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir).
-
-    Where none is set, a session in one process, as in tests, gets a temporary
-    one; on a cluster that is an error, as executors don't see each other's disks.
-    """
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not where:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="sparkloom-checkpoints-")
-        context.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+from sparkloom.operators.layout import hadoop_path, scratch_folder, shared_path
 
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
-def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder of scratch tables; what is left of it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}"
-    if path not in _watched:
-        _watched.add(path)
-        where, files = _file_system(spark, path)
-        files.mkdirs(where)
-        files.deleteOnExit(where)
-    return path
+#: This application's folder of scratch tables.
+scratch_dir = scratch_folder
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
-    where, files = _file_system(spark, path)
+    where, files = hadoop_path(spark, path)
     files.delete(where, True)
 
 
@@ -62,7 +32,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     whether a side may be broadcast. release() deletes it, as does the end of temporary().
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.scratch_path = path
