@@ -14,7 +14,7 @@ def test_oracle(name, spark, sf_dir, duck):
 
 
 def test_queries_without_oracle_run(spark, sf_dir):
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"orders_sample_seeded"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"orders_sample_seeded", "parallelism"}
     query = catalogue.QUERIES["orders_sample_seeded"]
     assert sorted(query(spark, sf_dir).collect()) == sorted(query(spark, sf_dir).collect())
 
