@@ -8,6 +8,11 @@ of a text are looked up, the hits give diagonals, and along each diagonal the
 template is aligned with the text in a band: matched words give coverage and
 span. Words are runs of letters and digits, in lower case (ASCII).
 
+Edited notices may share no run. So each template has anchors in the index too, single words of which
+every match holds one: a word that it may not miss, or, without such words, its longest ones, one more than a match may
+miss. An anchor's diagonal is aligned in twice the band, which holds the bands of all
+diagonals that could meet the anchor, if the words around it can reach the coverage at all. No match of any diagonal is missed.
+
 Words that tell licenses apart (families, clauses such as NonCommercial, version
 numbers) must agree: an alignment leaves none of the template out and passes over
 none in the text, so one license is never named for another. Of matches that
@@ -19,15 +24,17 @@ its matches, and the choice among overlapping ones follows the last.
 
 Defined results: null and empty texts match nothing; very long texts are scanned
 whole; a template shorter than a run is one run, one without words matches
-nothing; of equal matches (ties) the leftmost, then the first name counts; repeated
+nothing; of equal matches (ties) the most covered, then the leftmost, then the first name counts; repeated
 rows are reported each time; an empty table gives an empty result; columns other
 than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -87,6 +94,13 @@ NOTICES = {
         "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software"
     ),
+    "MIT-title": "MIT License",
+    "Apache-2.0-title": "Apache License 2.0",
+    "BSD-2-Clause-title": "BSD 2-Clause License",
+    "BSD-3-Clause-title": "BSD 3-Clause License",
+    "MPL-2.0-title": "Mozilla Public License 2.0",
+    "MPL-2.0-name": "Mozilla Public License, Version 2.0",
+    "ISC-title": "ISC License",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": (
         "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
@@ -107,15 +121,22 @@ CC_CLAUSES = {
 CC_VERSIONS = ("2.0", "3.0", "4.0")
 GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
 GNU_VERSIONS = {"GPL": ("2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+#: Identifiers of the SPDX list.
+SPDX = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later "
+    "ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-2.0 Unlicense Zlib"
+).split()
 #: Words that tell licenses apart, and words after which a number is a version.
 TELLING = frozenset(
-    "apache mit bsd isc mozilla mpl gnu gpl lgpl agpl affero lesser cc cc0 nc sa nd noncommercial sharealike noderivatives noderivs unlicense zlib".encode().split()
+    "apache mit bsd isc mozilla mpl gnu gpl lgpl agpl affero lesser cc cc0 nc sa nd noncommercial sharealike noderivatives noderivs unlicense zlib 0bsd bsl epl gplv2 gplv3 lgplv3 agplv3 v2 v3".encode().split()
 )
-VERSIONED = frozenset("version v license licence public apache gpl lgpl agpl mpl cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives noderivs".encode().split())
+VERSIONED = frozenset("version v license licence public apache bsd mit bsl epl gpl lgpl agpl mpl cc cc0 by nc sa nd attribution noncommercial sharealike noderivatives noderivs".encode().split())
 
 
 def _all_templates() -> dict[str, str]:
     out = dict(NOTICES)
+    for name in SPDX:
+        out[f"{name}-spdx"] = f"SPDX-License-Identifier: {name}"
     for version in CC_VERSIONS:
         for code, name in CC_CLAUSES.items():
             out[f"CC-{code}-{version}"] = f"CC {code} {version}"
@@ -127,6 +148,8 @@ def _all_templates() -> dict[str, str]:
             out[f"{code}-{full}"] = f"This work is licensed under the {name}, version {version}"
             out[f"{code}-{full}-short"] = f"GNU {code}, version {version}"
             out[f"{code}-{full}-name"] = f"{name}, version {version}"
+            out[f"{code}-{full}-title"] = f"{name} v{full}"
+            out[f"{code}-{full}-letters"] = f"{code}v{version}"
             out[f"{code}-{full}-notice"] = (
                 f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by "
                 f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version"
@@ -201,10 +224,10 @@ def align(template: list[bytes], text: list[bytes], shift: int, must: list[bool]
 
 
 def chosen(matches: list[tuple]) -> list[tuple]:
-    """Of (name, coverage, matched, first, last) those that stay where some overlap: most words first, then the shortest, leftmost, first name."""
+    """Of (name, coverage, matched, first, last) those that stay where some overlap: most words first, then the most covered, shortest, leftmost, first name."""
     out: list[tuple] = []
     begins: list[int] = []
-    for m in sorted(set(matches), key=lambda m: (-m[2], m[4] - m[3], m[3], m[0])):
+    for m in sorted(set(matches), key=lambda m: (-m[2], -m[1], m[4] - m[3], m[3], m[0])):
         k = bisect(begins, m[4])  # those that stay don't overlap: only the last one that begins before m ends can
         if not k or out[k - 1][4] < m[3]:
             out.insert(k, m)
@@ -215,8 +238,8 @@ def chosen(matches: list[tuple]) -> list[tuple]:
 class TemplateIndex:
     """The inverted index of winnowed runs."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM):
-        self.gram = gram
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, coverage: float = COVERAGE):
+        self.gram, self.coverage = gram, coverage
         self.names = sorted(templates)
         self.templates = [words(templates[n]) for n in self.names]
         self.must = [telling(t) for t in self.templates]
@@ -230,6 +253,22 @@ class TemplateIndex:
                 if len(runs[i]) == gram:
                     self.table[int(self._codes(np.array([self.ids[w] for w in runs[i]], np.int64))[0])] = True
         self.short = {k: v for k, v in self.runs.items() if len(k) < gram}
+        #: Words of each template with how often they occur, those that it may not miss, and (template, place) by anchor.
+        self.often = [Counter(t) for t in self.templates]
+        self.needed = [frozenset(w for w, m in zip(t, must) if m) for t, must in zip(self.templates, self.must)]
+        self.anchors: dict[bytes, list[tuple[int, int]]] = {}
+        for n, t in enumerate(self.templates):
+            places = [i for i, m in enumerate(self.must[n]) if m and not t[i].isdigit()] or [i for i, m in enumerate(self.must[n]) if m]
+            if places:
+                places = [max(places, key=lambda i: len(t[i]))]
+            else:
+                places = sorted(range(len(t)), key=lambda i: -len(t[i]))[: len(t) - self.least(n) + 1]
+            for i in places:
+                self.anchors.setdefault(t[i], []).append((n, i))
+
+    def least(self, n: int) -> int:
+        """Words of template n that a match holds at least."""
+        return max(1, math.ceil(self.coverage * len(self.templates[n]) - 1e-9))
 
     def _codes(self, ids: np.ndarray) -> np.ndarray:
         """A table slot for each run of known words."""
@@ -260,17 +299,41 @@ class TemplateIndex:
                     for n, i in where:
                         yield n, i, p
 
-    def matches(self, found: list[bytes], coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
+    def reachable(self, n: int, found: list[bytes]) -> bool:
+        """Whether these words hold all that template n needs, and enough of the rest."""
+        around = set(found)
+        if not self.needed[n] <= around:
+            return False
+        often, have = self.often[n], 0
+        for w in around:
+            have += often.get(w, 0)
+        return have >= self.least(n)
+
+    def matches(self, found: list[bytes]) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first word, last word) of every match, overlapping ones too."""
-        diagonals = {(n, p - i) for n, i, p in self.hits(found)}
-        if not diagonals:
+        bands = {(n, p - i): BAND for n, i, p in self.hits(found)}
+        get = self.anchors.get
+        for p, word in enumerate(found):
+            for n, i in get(word, ()):
+                bands[n, p - i] = 2 * BAND
+        if not bands:
             return []
         stops, out = telling(found), []
-        for n, shift in sorted(diagonals):
+        for (n, shift), band in sorted(bands.items()):
             template = self.templates[n]
-            k, first, last = align(template, found, shift, self.must[n], stops)
-            if k and k >= coverage * len(template):
-                out.append((self.names[n], k / len(template), k, first, last))
+            size = len(template)
+            if shift >= 0 and found[shift : shift + size] == template:
+                out.append((self.names[n], 1.0, size, shift, shift + size - 1))
+            else:
+                spans = [(max(0, shift - band), min(len(found), shift + size + band))]
+                while spans:  # what stands beside a match may hold another
+                    low, high = spans.pop()
+                    if high <= low or not self.reachable(n, found[low:high]):
+                        continue
+                    k, first, last = align(template, found[low:high], shift - low, self.must[n], stops[low:high], band)
+                    if k >= self.least(n):
+                        out.append((self.names[n], k / size, k, low + first, low + last))
+                        spans += [(low, low + first), (low + last + 1, high)]
         return out
 
 
@@ -314,11 +377,11 @@ def _adder(templates: dict[str, str], coverage: float, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Matches so far are words' places; the last block chooses among them and gives the texts' places."""
-        index = TemplateIndex(templates)
+        index = TemplateIndex(templates, coverage=coverage)
         for batch in batches:
             ids, every = [], []
             for doc_id, text, found in zip(batch.column(0), texts(batch), batch.column(2)):
-                matches = [tuple(m.values()) for m in found.as_py()] + index.matches(words(text), coverage)
+                matches = [tuple(m.values()) for m in found.as_py()] + index.matches(words(text))
                 matches = placed(text, matches) if last else matches
                 if matches or not last:
                     ids.append(doc_id.as_py())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import time
+from collections import Counter
 
 from sparkloom.llm import decontaminate, licenses
 from sparkloom.llm.queries import QUERIES
@@ -201,3 +203,66 @@ def test_license_query_equals_line_search(spark, sf_dir):
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     want = {(d.doc_id, k) for d in docs for k, line in lines.items() if line in d.text}
     assert want and got == want
+
+
+def on_all_diagonals(index, found):
+    """Names that an alignment in a band about any diagonal finds; templates of whose words the text has too few are left out."""
+    stops, have = licenses.telling(found), Counter(found)
+    out = set()
+    for n, template in enumerate(index.templates):
+        if sum(w in have for w in template) >= index.least(n):
+            if any(licenses.align(template, found, s, index.must[n], stops)[0] >= index.least(n) for s in range(-len(template), len(found) + 1)):
+                out.add(index.names[n])
+    return out
+
+
+def test_edited_templates_are_all_candidates():
+    """As many words replaced as the coverage allows, never a telling one: what any diagonal finds is found."""
+    index, rng, seen = licenses.TemplateIndex(licenses.TEMPLATES), random.Random(5), 0
+    around = [w.encode() for w in "lorem ipsum dolor sit amet consectetur words go on".split()]
+    for n, name in enumerate(index.names):
+        template = index.templates[n]
+        if len(template) > 40:
+            continue
+        for _ in range(3):
+            may = [i for i, m in enumerate(index.must[n]) if not m]
+            drop = set(rng.sample(may, min(len(template) - index.least(n), len(may))))
+            body = [b"zz%d" % rng.randint(0, 99) if i in drop else w for i, w in enumerate(template)]
+            body = [w for w in body for w in ([w, b"more"] if rng.random() < 0.05 else [w])]
+            text = rng.choices(around, k=9) + body + rng.choices(around, k=9)
+            want = name in on_all_diagonals(index, text)
+            seen += want
+            assert not want or name in {m[0] for m in index.matches(text)}, (name, text)
+    assert seen > 250
+
+
+def test_query_equals_all_diagonals(spark, sf_dir):
+    """Every license named by an alignment on some diagonal stands in the text's matches, and what is reported is such a match or lies in twice the band."""
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(docs)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.coverage, r.matched, r.start, r.stop))
+    for r in docs:
+        found = licenses.words(r.text or "")
+        matches = index.matches(found)
+        assert on_all_diagonals(index, found) <= {m[0] for m in matches}
+        assert sorted(got.get(r.doc_id, [])) == sorted(licenses.placed(r.text or "", matches))
+    assert len(got) > 3
+
+
+def test_headings_and_identifiers():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    named = {
+        "MIT License": "MIT-title", "BSD 3-Clause License": "BSD-3-Clause-title", "Mozilla Public License 2.0": "MPL-2.0-title", "Apache License 2.0": "Apache-2.0-title", "GNU General Public License v3.0": "GPL-3.0-title",
+        "GPLv3": "GPL-3.0-letters", **{f"// SPDX-License-Identifier: {n}": f"{n}-spdx" for n in licenses.SPDX}, "SPDX-License-Identifier: Made-Up-1.0": None,
+    }
+    for text, name in named.items():
+        assert [m[0] for m in licenses.placed(text, index.matches(licenses.words(text)))] == ([name] if name else []), text
+
+
+def test_repeated_notices_take_seconds():
+    index = licenses.TemplateIndex(licenses.TEMPLATES)
+    text = "GNU General Public License, version 2 " * 8000
+    began = time.time()
+    assert len(licenses.placed(text, index.matches(licenses.words(text)))) == 8000 and time.time() - began < 20
