@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 
 import pytest
 from compare import same
@@ -255,3 +256,16 @@ def test_one_odd_time_does_not_gather_the_rest(spark):
     cuts = df.agg(F.percentile_approx("ts", F.array(*[F.lit(k / 16) for k in range(1, 16)]), 10_000)).first()[0]
     sizes = [sum((a or -1) < r[2] <= b for r in rows) for a, b in zip([None, *cuts], cuts)]
     assert max(sizes) < 300
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Time grows with the text: 30,000 turns in seconds, with the digests of every one; pieces are cut inside control strings, escapes and characters of two units."""
+    n = 30_000
+    text = lambda k: f"\U0001f600 turn {k} </s> \\ [INST] " + "é" * (k % 97)
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("\U0001f600 turn "), F.col("id").cast("string"), F.lit(" </s> \\ [INST] "), F.repeat(F.lit("é"), (F.col("id") % 97).cast("int"))).alias("text"))
+    began = time.time()
+    got = chat.digest(chat.render(chat.canonical(chat.records_of(rows)))).first()
+    loss = "".join(text(k) for k in range(1, n, 2))
+    turns = "".join(f"{('user', 'assistant')[k % 2]}\n{text(k)}\n" for k in range(n))
+    assert (got.n_turns, got.loss_chars) == (n, len(loss)) and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+    assert time.time() - began < 120
