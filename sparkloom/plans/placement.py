@@ -38,9 +38,12 @@ def hot_cold_union(t: Tables) -> DataFrame:
     return warm.unionByName(cold)
 
 
-@query("SELECT CASE WHEN i < 8000 THEN 'popular' ELSE 'rare_' || ((i - 8000) % 20) END AS key, sum(i)::BIGINT AS total FROM range(10000) r(i) GROUP BY ALL")
+@query(
+    "SELECT CASE WHEN i < floor(n * 0.8) THEN 'popular' ELSE 'rare_' || ((i - floor(n * 0.8)::BIGINT) % 20) END AS key, sum(i)::BIGINT AS total FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT count(*) AS n FROM orders)) GROUP BY ALL"
+)
 def skewed_generator(t: Tables) -> DataFrame:
-    return layout.salted_sum(skewed_keys(t.spark, 10_000), "key", "value", F.col("value"))
+    """As many pairs as there are orders, of which four fifths have one key, summed with salts."""
+    return layout.salted_sum(skewed_keys(t.spark, t.orders.count()), "key", "value", F.col("value"))
 
 
 @query("SELECT salts, lang, sum(n_chars)::BIGINT AS total FROM documents, (VALUES (4), (8), (16)) s(salts) GROUP BY ALL")
@@ -51,10 +54,12 @@ def salts_compared(t: Tables) -> DataFrame:
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("SELECT CASE WHEN i < 900000 THEN 'hot' ELSE 'key_' || ((i - 900000) % 100) END AS key, count(*)::BIGINT AS n FROM range(1000000) r(i) GROUP BY ALL")
+@query(
+    "SELECT CASE WHEN i < floor(n * 0.9) THEN 'hot' ELSE 'key_' || ((i - floor(n * 0.9)::BIGINT) % 100) END AS key, count(*)::BIGINT AS n FROM (SELECT unnest(range(n)) AS i, n FROM (SELECT count(*) AS n FROM lineitem)) GROUP BY ALL"
+)
 def hot_generator(t: Tables) -> DataFrame:
-    """A million pairs of which nine tenths have one key, the rest a hundred."""
-    return skewed_keys(t.spark, 1_000_000, 0.9, 100, "hot", "key_").groupBy("key").agg(F.count("*").alias("n"))
+    """As many pairs as there are lines of orders, of which nine tenths have one key, the rest a hundred."""
+    return skewed_keys(t.spark, t.lineitem.count(), 0.9, 100, "hot", "key_").groupBy("key").agg(F.count("*").alias("n"))
 
 
 @query("SELECT ((dense_rank() OVER (ORDER BY n_name) - 1) % 4)::INT AS part, n_name FROM nation")
@@ -65,7 +70,7 @@ def partition_by_sorted_index(t: Tables) -> DataFrame:
     return layout.place(known.select("n_name", "place"), 4, F.col("place")).select(F.spark_partition_id().alias("part"), "n_name")
 
 
-@query("SELECT * FROM (VALUES ('grown', 12), ('merged', 3), ('repartitioned', 6)) v(step, parts)")
+@query("SELECT step, least(parts, (SELECT count(*) FROM orders))::INT AS parts FROM (VALUES ('grown', 12), ('merged', 3), ('repartitioned', 6)) v(step, parts)")
 def partition_counts(t: Tables) -> DataFrame:
     """Partitions that hold rows after growing, merging neighbours and dealing anew."""
     rows = t.orders.select("o_orderkey")

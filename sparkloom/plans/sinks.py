@@ -69,8 +69,12 @@ def schema_rows(t: Tables) -> DataFrame:
     return files.local_rows(t.spark, files.describe_schema(t.customer), "name string, type string")
 
 
-@query("SELECT count(*)::BIGINT AS n, sum(i)::BIGINT AS total, 8 AS parts FROM range(1000000) r(i)")
+@query(
+    "SELECT count(*)::BIGINT AS n, sum(i)::BIGINT AS total, count(o_orderkey)::BIGINT AS orders, 8 AS parts FROM (SELECT unnest(range((SELECT max(o_orderkey) + 1 FROM orders))) AS i) LEFT JOIN orders ON o_orderkey = i"
+)
 def number_range(t: Tables) -> DataFrame:
-    """Integers made in place, in eight partitions."""
-    rows = files.numbers(t.spark, 0, 1_000_000, 8).withColumn("part", F.spark_partition_id())
-    return rows.agg(F.count("*").alias("n"), F.sum("id").alias("total"), F.countDistinct("part").cast("int").alias("parts"))
+    """All integers up to the greatest order's key, made in place in eight partitions, and how many of them are an order's."""
+    stop = (t.orders.agg(F.max("o_orderkey")).first()[0] or -1) + 1
+    rows = files.numbers(t.spark, 0, stop, 8).withColumn("part", F.spark_partition_id())
+    joined = rows.join(t.orders.select("o_orderkey"), F.col("id") == F.col("o_orderkey"), "left")
+    return joined.agg(F.count("*").alias("n"), F.sum("id").alias("total"), F.count("o_orderkey").alias("orders"), F.countDistinct("part").cast("int").alias("parts"))
