@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 import time
 
@@ -269,3 +270,30 @@ def test_a_conversation_of_very_many_turns(spark):
     turns = "".join(f"{('user', 'assistant')[k % 2]}\n{text(k)}\n" for k in range(n))
     assert (got.n_turns, got.loss_chars) == (n, len(loss)) and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got.turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
     assert time.time() - began < 120
+
+
+def card_like(rng, first):
+    """A number of 15 digits that passes Luhn's check."""
+    body = first + "".join(rng.choice("0123456789") for _ in range(12))
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def test_added_spans_of_a_labelled_sample(spark):
+    """Looser spans planted in sentences are all found; telephone-like numbers of orders and invoices are not taken for them."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = lambda text: rng.choice(text.split())
+    planted = [
+        lambda: ("phone", "please call ", f"({rng.randint(2, 9)}{digits(2)}) {rng.randint(2, 9)}{digits(2)}-{digits(4)}"), lambda: ("phone", "you reach us at ", f"{rng.randint(2, 9)}{digits(2)} {rng.randint(2, 9)}{digits(2)} {digits(4)}"),
+        lambda: ("email", "write to ", f"{words('jo anna.b k_lee sam')} at {words('host example post')} dot {words('org com net de')}"), lambda: ("email", "", f"{words('jo anna.b')} [at] {words('host post')} [dot] {words('org de')}"),
+        lambda: ("card", "paid by card ", card_like(rng, "37")), lambda: ("ip", "from server ", ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8))),
+    ]
+    decoys = [lambda: ("", "order number ", f"{rng.randint(100, 199)}-{rng.randint(100, 199)}-{digits(4)}"), lambda: ("", "invoice ", f"{rng.randint(100, 199)} {digits(3)} {digits(4)}")]
+    rows, want = [], {}
+    for k in range(600):
+        kind, before, body = rng.choice(planted if rng.random() < 0.6 else decoys)()
+        lead = "words go on " * rng.randint(0, 4) + before
+        rows.append((k, f"{lead}{body} and so on"))
+        want[k] = f"{kind}:{len(lead)}:{len(lead) + len(body)}" if kind else ""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.report(docs, pii.fit(docs)).collect()} == want
