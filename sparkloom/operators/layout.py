@@ -38,20 +38,26 @@ def marked_hot(df: DataFrame, key: str, share: int = 4) -> DataFrame:
     return found.withColumn("hot", F.coalesce("_hot", F.lit(False))).drop("_key", "_hot")
 
 
+#: Keys that skew_join salts are fewer than this.
+HOT_KEYS = 100_000
+
+
 def skew_join(facts: DataFrame, dimension: DataFrame, key: str, how: str = "inner", rows: int = 1_000_000, salts: int | None = None, row_id: Column | None = None, counted: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Join facts with the rows of dimension of the same key, where few keys may hold most facts.
 
-    Keys of more than `rows` facts are found inside the plan, and each gets a salt for every
-    `rows` of them (or `salts`); only their dimension rows are repeated, once a salt. All others, and
-    null keys, which are dealt at random, join as they would. Such keys are at most one for each `rows`
-    facts; their table is small, but the planner decides by its size how it is joined. The salt is a hash of
+    Keys of more than `rows` facts, and of more than one in HOT_KEYS of all, are found inside the plan, and each gets
+    a salt for every so many of them (or `salts`); only their dimension rows are repeated, once a salt. All
+    others, and null keys, which are dealt at random, join as they would. There are fewer such keys than
+    HOT_KEYS, whatever the tables' size, so they are broadcast and no side is shuffled to find its salts. The salt is a hash of
     row_id, by default of all columns, so a task that is run again deals alike. how: inner or left (facts on the left).
     counted: a cheaper table with the same keys as often, to count by. keep: also give `salt`.
     """
     if how not in ("inner", "left"):
         raise ValueError("a repeated dimension can only be on the side whose own rows don't count")
-    salted = (counted if counted is not None else facts).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_hot").isNotNull() & (F.col("_n") > rows))
-    salted = salted.select("_hot", (F.lit(salts) if salts else F.ceil(F.col("_n") / rows)).cast("int").alias("_salts"))
+    counts = (counted if counted is not None else facts).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).where(F.col("_hot").isNotNull())
+    least = F.greatest(F.lit(rows), F.coalesce(F.floor(counts.agg(F.sum("_n").alias("n")).scalar() / HOT_KEYS), F.lit(0)))
+    share = F.lit(salts) if salts else F.ceil(F.col("_n") / least)
+    salted = F.broadcast(counts.where(F.col("_n") > least).select("_hot", share.cast("int").alias("_salts")))
     deal = F.xxhash64(*([row_id] if row_id is not None else facts.columns))
     many = facts.join(salted, facts[key] == salted["_hot"], "left").drop("_hot")
     many = many.withColumn("_salt", F.when(F.col(key).isNull(), F.pmod(deal, F.lit(1 << 20))).otherwise(F.pmod(deal, F.coalesce("_salts", F.lit(1)))).cast("int")).drop("_salts")
