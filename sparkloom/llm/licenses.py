@@ -265,6 +265,8 @@ class TemplateIndex:
                 places = sorted(range(len(t)), key=lambda i: -len(t[i]))[: len(t) - self.least(n) + 1]
             for i in places:
                 self.anchors.setdefault(t[i], []).append((n, i))
+        self.anchored = np.zeros(len(self.ids) + 1, np.bool_)
+        self.anchored[[self.ids[w] for w in self.anchors]] = True
 
     def least(self, n: int) -> int:
         """Words of template n that a match holds at least."""
@@ -278,10 +280,13 @@ class TemplateIndex:
             h = h * 1_000_003 + ids[k : k + n]
         return (h ^ h >> 21) & (_TABLE - 1)
 
-    def hits(self, found: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(template, its place, the text's place) of each run that the index holds."""
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """The number of each word that a template has, 0 of others."""
         get = self.ids.get
-        ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
+        return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
+
+    def hits(self, found: list[bytes], ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(template, its place, the text's place) of each run that the index holds."""
         if len(found) >= self.gram and ids.any():
             known = ids > 0
             full = known[: len(ids) - self.gram + 1].copy()
@@ -294,7 +299,7 @@ class TemplateIndex:
                     for n, i in self.runs.get(tuple(found[p : p + self.gram]), ()):
                         yield n, i, p
         for run, where in self.short.items():
-            for p in range(len(found) - len(run) + 1):
+            for p in np.flatnonzero(ids == self.ids[run[0]]).tolist():
                 if tuple(found[p : p + len(run)]) == run:
                     for n, i in where:
                         yield n, i, p
@@ -311,14 +316,12 @@ class TemplateIndex:
 
     def matches(self, found: list[bytes]) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, matched words, first word, last word) of every match, overlapping ones too."""
-        bands = {(n, p - i): BAND for n, i, p in self.hits(found)}
-        get = self.anchors.get
-        for p, word in enumerate(found):
-            for n, i in get(word, ()):
+        ids = self.numbers(found)
+        bands = {(n, p - i): BAND for n, i, p in self.hits(found, ids)}
+        for p in np.flatnonzero(self.anchored[ids]).tolist():
+            for n, i in self.anchors[found[p]]:
                 bands[n, p - i] = 2 * BAND
-        if not bands:
-            return []
-        stops, out = telling(found), []
+        stops, out = None, []
         for (n, shift), band in sorted(bands.items()):
             template = self.templates[n]
             size = len(template)
@@ -330,6 +333,7 @@ class TemplateIndex:
                     low, high = spans.pop()
                     if high <= low or not self.reachable(n, found[low:high]):
                         continue
+                    stops = stops or telling(found)
                     k, first, last = align(template, found[low:high], shift - low, self.must[n], stops[low:high], band)
                     if k >= self.least(n):
                         out.append((self.names[n], k / size, k, low + first, low + last))
