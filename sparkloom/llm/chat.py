@@ -23,9 +23,11 @@ spans of the rendered text that hold the assistants' texts.
 Defined results: a null text or role is empty; turns sort by number, nulls first,
 then role and text, so ties have one order; repeated rows stay; texts of any
 length are kept whole; a record without turns, one that is null, and one that is
-no JSON render as the empty text; roles of other layouts' names (human, gpt, bot,
-model) become user and assistant, other roles stay; an empty table gives an empty
-result; other columns are kept, those named like a result column replaced.
+no JSON render as the empty text; names of roles that belong to a layout (human and
+gpt where speakers are named so) are read as user and assistant there, and in all
+others a role stays as it is written; the loss mask holds every text whose role is a
+name of the assistant; an empty table gives an empty result; other columns are kept,
+those named like a result column replaced.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ from pyspark.sql import functions as F
 from .shared import fresh, own
 
 ASSISTANT = "assistant"
-#: Role names of the layouts and what they are called here.
+#: Role names of layouts with names of their own, and what they are called here.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: All names of the assistant.
+LEARNED = (ASSISTANT, *(name for name, role in ROLES.items() if role == ASSISTANT))
 BEGIN, MIDDLE, END = "[INST] ", " [/INST]", "</s>"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 TURNS = "array<struct<role:string,text:string>>"
@@ -60,7 +64,7 @@ class Layout:
     `turns` names the path of an array and the role and text fields of its items;
     `fields` lists (role, path) of single texts instead. A path goes through
     objects with dots; `a[].b` is field b of the objects in array a. `written`
-    says what the layout calls roles, where it has names of its own.
+    says what the layout calls roles; one that says so reads all of ROLES.
     """
 
     name: str
@@ -76,7 +80,7 @@ LAYOUTS = (
     Layout("messages", ("messages[].content", "messages[].role"), ("messages[].name",), ("messages", "role", "content")),
     Layout("sharegpt", ("conversations[].from", "conversations[].value"), (), ("conversations", "from", "value"), (), (("user", "human"), ("assistant", "gpt"))),
     Layout("turns", ("turns[].role", "turns[].text"), ("turns[].turn",), ("turns", "role", "text")),
-    Layout("dialogue", ("data.dialogue.items[].speaker", "data.dialogue.items[].utterance"), ("data.id",), ("data.dialogue.items", "speaker", "utterance")),
+    Layout("dialogue", ("data.dialogue.items[].speaker", "data.dialogue.items[].utterance"), ("data.id",), ("data.dialogue.items", "speaker", "utterance"), (), (("user", "human"), ("assistant", "bot"))),
     Layout("instruction", ("instruction", "output"), ("input", "system"), None, (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("prompt", ("prompt", "response"), ("system",), None, (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("nested_prompt", ("data.prompt", "data.response"), ("data.system",), None, (("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.response"))),
@@ -161,7 +165,8 @@ def _convert(layout: Layout, record: Column) -> Column:
     if layout.turns:
         name, role, text = layout.turns
         items = _at(F.from_json(record, _ddl([f"{name}[].{role}", f"{name}[].{text}"]), _JSON), name)
-        return F.coalesce(F.transform(items, lambda x: F.struct(_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))), empty)
+        read = _role if layout.written else lambda r: F.coalesce(r, F.lit(""))
+        return F.coalesce(F.transform(items, lambda x: F.struct(read(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))), empty)
     values = F.from_json(record, _ddl([p for _, p in layout.fields]), _JSON)
     turns = [F.struct(F.lit(r).alias("role"), _at(values, p).alias("text")) for r, p in layout.fields]
     return F.filter(F.array(*turns), lambda t: t["text"].isNotNull()).cast(TURNS)
@@ -199,7 +204,7 @@ def unescape(text: Column) -> Column:
 
 def render(turns: DataFrame) -> DataFrame:
     """Records with `formatted` and `loss`, the spans (start, stop) of the assistants' texts in it."""
-    parts = F.transform("turns", lambda t: F.struct((t["role"] == ASSISTANT).alias("learn"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
+    parts = F.transform("turns", lambda t: F.struct(t["role"].isin(*LEARNED).alias("learn"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     marks = len(BEGIN) + len(MIDDLE)
     size = lambda t: F.length(t["role"]) + F.length(t["text"]) + marks + len(END)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
@@ -271,16 +276,20 @@ def records_of(conversations: DataFrame) -> DataFrame:
     """(conv_id, record) of rows (conv_id, turn, role, text): a JSON record for each conversation.
 
     The layouts of lists are dealt by a hash of the id, so a table's records are
-    heterogeneous. All turns of a conversation make one record, so they have to
-    meet; a conversation is one output value whatever its length.
+    heterogeneous. A conversation with a role that a layout's own names would change
+    is written in one without such names, so every role is read back as it was.
+    All turns of a conversation make one record, so they have to meet; a conversation
+    is one output value whatever its length.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    named = F.coalesce(F.bool_or(F.col("role").isin(*ROLES)), F.lit(False))
+    ordered = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"), named.alias("named"))
     kinds = [k for k in LAYOUTS if k.turns]
     place = F.pmod(F.xxhash64("conv_id"), F.lit(len(kinds)))
     record = written(kinds[0], F.col("turns"))
     for n, kind in enumerate(kinds[1:], 1):
-        record = F.when(place == n, written(kind, F.col("turns"))).otherwise(record)
+        mine = (place == n) & ~F.col("named") if kind.written else place == n
+        record = F.when(mine, written(kind, F.col("turns"))).otherwise(record)
     return ordered.select("conv_id", record.alias("record"))
 
 
@@ -309,16 +318,12 @@ WITH rows_ AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), clean AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows_
-), named AS (
-  SELECT conv_id, turn, role AS raw, text,
-    CASE role {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ROLES.items())} ELSE role END AS role
-  FROM clean
 ), grouped AS (
   SELECT conv_id, count(*) AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, raw, text) AS all_text,
-    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, raw, text) FILTER (WHERE role = '{ASSISTANT}'), '') AS loss_text,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS all_text,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role IN {LEARNED}), '') AS loss_text,
     sum({len(BEGIN) + len(MIDDLE) + len(END)} + {_escaped_length('role')} + {_escaped_length('text')}) AS formatted_chars
-  FROM named GROUP BY conv_id
+  FROM clean GROUP BY conv_id
 )
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(all_text) AS turns_sha256, length(loss_text)::BIGINT AS loss_chars,
   sha256(loss_text) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars

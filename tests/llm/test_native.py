@@ -178,6 +178,22 @@ def test_conversations_odd_rows(spark):
     assert chat.digest(chat.render(chat.canonical(chat.records_of(df.limit(0))))).count() == 0
 
 
+def test_roles_are_read_back_as_written(spark):
+    """Names that some layouts have for user and assistant stay where a conversation uses them itself, whatever layout it is dealt to."""
+    said = ("human", "gpt", "user", "assistant", "", "bot", "Human", "prompter", "model", "tool")
+    plain = ("user", "assistant", "system", "tool")
+    rows = [(c, n, r, f"{r} {n}") for c in range(60) for n, r in enumerate(said if c % 2 else plain)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.canonical(chat.records_of(df))
+    assert {r.layout for r in records.where("conv_id % 2 = 0").select("layout").distinct().collect()} == {k.name for k in chat.LAYOUTS if k.turns}
+    got = {r.conv_id: r for r in chat.digest(chat.render(records)).collect()}
+    for c in range(60):
+        mine = [(r, t) for k, _, r, t in rows if k == c]
+        learned = "".join(t for r, t in mine if r in chat.LEARNED)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in mine).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 def test_mix(spark):
     words = lambda n: "w " * n
     rows = [(i, words(10), s, 1) for i in range(400) for s in ("a",)] + [(1000 + i, words(5), "b", 1) for i in range(20)] + [(2000, None, None, 1), (None, words(50), None, 1), (3000, "", "c", 1), (3000, "", "c", 1)]
