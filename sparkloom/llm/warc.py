@@ -5,12 +5,12 @@ response to the same canonical URL before it, if a validator agrees: equal entit
 tags (weak comparison), else equal Last-Modified. The resolved record takes the
 response's payload and headers, replaced by those headers that a 304 may update.
 
-The as-of join has two levels: the last response of each (URL, slice of time) is
-aggregated map-side and carried forward over a URL's at most SLICES slices, and
-only records of one slice are sorted together. Slices are cut at quantiles of all
-records' times, so a few odd times don't gather the rest in one slice, and a URL
-with a third of all records is dealt over a third of the slices at least. Payloads
-don't move: the join handles record ids.
+The as-of join is a prefix scan. Records are dealt by range of their whole order (URL,
+time, kind, id) into parts of about PART_RECORDS, so a URL with a third of all
+records, or a time with most of them, is dealt over many parts, whatever the size of
+the table; the deal is written to the shared folder, which fixes it. Inside a part the
+last response stands before a revisit in a window. What a part's first URL had in the parts before
+is carried over: one row a part at most. Payloads don't move: the join handles record ids.
 
 Defined results: outcome is `full` for responses, `resolved`, `changed` (the
 validators differ or are missing) or `orphan` (no earlier response). Earlier means
@@ -20,7 +20,7 @@ record without a time is never found, and as a revisit is an orphan; a null or
 empty URL is canonically empty and such records refer to each other as any others;
 very long URLs and header values are kept whole; null headers are none; an empty
 table gives an empty result; other columns are kept whatever their names, and
-those named like a result column replaced.
+those named like a result column replaced. Rows that are equal in the whole order lie in one part.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import packed, unpacked
+from sparkloom.operators.layout import session_parts
 
-SLICES = 64
+from .shared import materialise, packed, unpacked
+
+#: Records that a part holds, about; a session has as many parts as shuffle partitions at least.
+PART_RECORDS = 200_000
 #: Headers that a 304 answer may update (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that name a campaign, not a page.
@@ -53,36 +56,41 @@ def strong(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
-def slice_of(ts: Column, cuts: list[int], first: int = 0) -> Column:
-    """How many of the cuts a time exceeds, by halving: a few comparisons a record."""
-    if not cuts:
-        return F.lit(first)
-    half = len(cuts) // 2
-    return F.when(ts > cuts[half], slice_of(ts, cuts[half + 1 :], first + half + 1)).otherwise(slice_of(ts, cuts[:half], first))
+def dealt(records: DataFrame, parts: int | None = None) -> DataFrame:
+    """(row, canonical, part) of records, dealt by range of canonical URL, time, kind, id and headers; written and read back."""
+    spark = records.sparkSession
+    parts = parts or max(session_parts(spark), -(-records.count() // PART_RECORDS))
+    rows = records.select(packed(records), canonical_url(F.col("url")).alias("canonical"))
+    return materialise(rows.repartitionByRange(parts, "canonical", *in_order()).withColumn("part", F.spark_partition_id()), "captures")
+
+
+def in_order() -> list[Column]:
+    """The order of one URL's records; at one time revisits come first, as earlier means a smaller time."""
+    row = F.col("row")
+    answers = F.when(row["kind"] == "response", 1).otherwise(0)
+    return [row["ts"], answers, row["record_id"], F.xxhash64(F.array_sort(F.map_entries(headers_of(row))))]
 
 
-def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def headers_of(row: Column) -> Column:
+    return F.coalesce(row["headers"], F.create_map().cast("map<string,string>"))
+
+
+def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
     """Records with canonical, outcome, refers_to, payload_of and merged headers.
 
     records: record_id long, url string, ts long, kind ('response' or 'revisit'),
     headers map<string,string> with names in lower case. payload_of is the
     record that holds the payload (null if there is none).
     """
-    shares = F.array(*[F.lit(k / slices) for k in range(1, slices)])
-    cuts = records.agg(F.percentile_approx("ts", shares, 10_000)).first()[0] or []
-    none = F.create_map().cast("map<string,string>")
-    rows = records.select(
-        packed(records), "record_id", "ts", "kind", F.coalesce("headers", none).alias("headers"), canonical_url(F.col("url")).alias("canonical"),
-        F.when(F.col("ts").isNull(), -1).otherwise(slice_of(F.col("ts"), sorted(set(cuts)))).alias("slice"),
-    )
-    rows = rows.withColumn("tie", F.xxhash64(F.array_sort(F.map_entries("headers"))))
-    rows = rows.withColumn("full", F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct(F.col("record_id").alias("id"), F.col("headers").alias("headers"))))
-    last = rows.groupBy("canonical", "slice").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct("ts", "record_id", "tie"))).alias("last"))
-    past = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col("canonical").alias("c"), F.col("slice").alias("s"), F.last("last", ignorenulls=True).over(past).alias("carried"))
-    answers = F.when(F.col("kind") == "response", 1).otherwise(0)  # at one time revisits come first: earlier means a smaller time
-    inside = Window.partitionBy("canonical", "slice").orderBy("ts", answers, "record_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carried, (F.col("canonical") == F.col("c")) & (F.col("slice") == F.col("s"))).withColumn("inner", F.last("full", ignorenulls=True).over(inside))
+    row = F.col("row")
+    full = F.when((row["kind"] == "response") & row["ts"].isNotNull(), F.struct(row["record_id"].alias("id"), headers_of(row).alias("headers")))
+    rows = dealt(records, parts).withColumn("full", full)
+    last = rows.groupBy("canonical", "part").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct(*in_order()))).alias("last"))
+    past = Window.partitionBy("canonical").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("canonical").alias("c"), F.col("part").alias("p"), F.last("last", ignorenulls=True).over(past).alias("carried")).where("carried IS NOT NULL")
+    inside = Window.partitionBy("canonical", "part").orderBy(*in_order()).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carried, (F.col("canonical") == F.col("c")) & (F.col("part") == F.col("p")), "left").withColumn("inner", F.last("full", ignorenulls=True).over(inside))
+    joined = joined.select("*", *(row[c].alias(c) for c in ("record_id", "ts", "kind")), headers_of(row).alias("headers"))
     found = joined.withColumn("found", F.when((F.col("kind") == "revisit") & F.col("ts").isNotNull(), F.coalesce("inner", "carried")))
     own, theirs = F.col("headers"), F.col("found.headers")
     tags = (F.try_element_at(own, F.lit("etag")), F.try_element_at(theirs, F.lit("etag")))

@@ -264,17 +264,38 @@ def test_revisits(spark):
 
 
 def test_one_odd_time_does_not_gather_the_rest(spark):
-    """Slices are cut at quantiles; repeated records and ids have one result."""
+    """Parts are cut in the whole order; repeated records and ids have one result."""
     rows = [(k, "http://x/a", 10**9 + k, "response" if k % 50 == 0 else "revisit", {"etag": str(k // 50)}) for k in range(2000)] + [(9000, "http://x/a", 0, "response", {"etag": "z"})]
     df = spark.createDataFrame(rows + rows[:60], "record_id long, url string, ts long, kind string, headers map<string,string>")
     got = warc.resolve(df, 16).collect()
     assert len(got) == len(rows) + 60 and all(r.outcome in ("full", "resolved") for r in got)
     assert all(r.refers_to == r.record_id // 50 * 50 for r in got if r.kind == "revisit")
-    cuts = df.agg(F.percentile_approx("ts", F.array(*[F.lit(k / 16) for k in range(1, 16)]), 10_000)).first()[0]
-    sizes = [sum((a or -1) < r[2] <= b for r in rows) for a, b in zip([None, *cuts], cuts)]
+    sizes = [r["count"] for r in warc.dealt(df, 16).groupBy("part").count().collect()]
     assert max(sizes) < 300
 
 
+def test_a_url_with_half_of_all_records_is_dealt(spark):
+    """Half of 100,000 records have one URL, a third of those one time: no part is over twice the median, and each revisit finds what a plain pass finds."""
+    n = 100_000
+    i = F.col("id")
+    hot = i % 2 == 0
+    url = F.when(hot, "http://x/hot").otherwise(F.concat(F.lit("http://x/"), (i % 9973).cast("string")))
+    ts = F.when(hot & (i % 3 == 0), F.lit(50_000)).otherwise((i * 7919) % n).cast("long")
+    kind = F.when(F.xxhash64("id") % 3 == 0, "response").otherwise("revisit")
+    rows = spark.range(n).select(i.alias("record_id"), url.alias("url"), ts.alias("ts"), kind.alias("kind"), F.create_map(F.lit("etag"), (i % 2).cast("string")).alias("headers"))
+    sizes = sorted(r["count"] for r in warc.dealt(rows, 20).groupBy("part").count().collect())
+    assert len(sizes) == 20 and sizes[-1] < 2 * sizes[10]
+    got = {r.record_id: (r.outcome, r.refers_to) for r in warc.resolve(rows, 20).select("record_id", "outcome", "refers_to").collect()}
+    latest, want = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.ts, r.kind == "response", r.record_id)):
+        if r.kind == "response":
+            latest[r.url], want[r.record_id] = r, ("full", None)
+        else:
+            seen = latest.get(r.url)
+            want[r.record_id] = ("orphan", None) if seen is None else ("resolved", seen.record_id) if seen.headers == r.headers else ("changed", None)
+    assert got == want
+
+
 def test_a_conversation_of_very_many_turns(spark):
     """Time grows with the text: 30,000 turns in seconds, with the digests of every one; pieces are cut inside control strings, escapes and characters of two units."""
     n = 30_000
