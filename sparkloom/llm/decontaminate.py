@@ -21,7 +21,10 @@ only doc_id and text are read, and clean() returns all columns whatever their na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +49,38 @@ def normal(text: str) -> str:
     return " ".join(text.replace("\x00", " ").lower().split())
 
 
-def original_places(text: str) -> list[tuple[int, int]]:
-    """For each character of normal(text), the span of text that it stands for."""
+def original_places(text: str, wanted: Sequence[int] | None = None) -> list[tuple[int, int]]:
+    """The spans of text that characters of normal(text) stand for: those at the wanted places, which ascend, or all of them.
+
+    Words keep their order and a gap is one character, so a walk over words finds
+    places; inside a word characters are counted only if lower case changes its length.
+    Nothing is held but the spans asked for.
+    """
     out: list[tuple[int, int]] = []
-    gap = -1
-    for i, c in enumerate(text.replace("\x00", " ")):
-        if c.isspace():
-            gap = i if gap < 0 else gap
-            continue
-        if gap >= 0 and out:
-            out.append((gap, i))
-        gap = -1
-        out += [(i, i + 1)] * len(c.lower())
+    asked = iter(range(len(normal(text))) if wanted is None else wanted)
+    at, place, end = next(asked, None), 0, 0  # place: of the next word's first character, or of the gap before it
+    for word in re.finditer(r"\S+", text.replace("\x00", " ")):
+        if at is None:
+            break
+        if place:  # a gap
+            if at == place:
+                out.append((end, word.start()))
+                at = next(asked, None)
+            place += 1
+        end, size = word.end(), len(word[0].lower())
+        if at is not None and at < place + size:
+            if size == end - word.start():
+                while at is not None and at < place + size:
+                    out.append((word.start() + at - place, word.start() + at - place + 1))
+                    at = next(asked, None)
+            else:
+                upto = place
+                for i, c in enumerate(word[0], word.start()):
+                    upto += len(c.lower())
+                    while at is not None and at < upto:
+                        out.append((i, i + 1))
+                        at = next(asked, None)
+        place += size
     return out
 
 
@@ -228,11 +251,12 @@ def _searcher(shared, rate: float):
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
         def searched(ids: list, raw: list[str], held: list[str]) -> pa.RecordBatch:
-            rows, last, places = [], -1, []
-            for d, n, k, s, e in index.search(held):
-                if d != last:
-                    last, places = d, original_places(raw[d])
-                rows.append((ids[d], index.items[n][0], k, s, e, places[s][0], places[e - 1][1]))
+            rows = []
+            for d, found in groupby(index.search(held), itemgetter(0)):
+                found = list(found)
+                ends = sorted({p for _, _, _, s, e in found for p in (s, e - 1)})
+                places = dict(zip(ends, original_places(raw[d], ends)))
+                rows += [(ids[d], index.items[n][0], k, s, e, places[s][0], places[e - 1][1]) for _, n, k, s, e in found]
             columns = list(zip(*rows)) or [[]] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 

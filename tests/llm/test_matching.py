@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import tracemalloc
 from collections import Counter
 
 from sparkloom.llm import decontaminate, licenses
@@ -101,6 +102,37 @@ def test_places_in_the_text_itself():
         assert all(decontaminate.normal(text[a:z]) in ("", c, c.strip()) or c in text[a:z].lower() for (a, z), c in zip(places, decontaminate.normal(text)))
 
 
+def test_places_asked_for_are_those_of_all():
+    """Against a walk by characters; of ten million characters only what is asked for is held."""
+
+    def by_characters(text):
+        out, gap = [], -1
+        for i, c in enumerate(text.replace("\x00", " ")):
+            if c.isspace():
+                gap = i if gap < 0 else gap
+                continue
+            if gap >= 0 and out:
+                out.append((gap, i))
+            gap = -1
+            out += [(i, i + 1)] * len(c.lower())
+        return out
+
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("aBİ \n\x00\u2003\x1cΣß\u0085") for _ in range(rng.randrange(40)))
+        whole = by_characters(text)
+        assert len(whole) == len(decontaminate.normal(text)) and decontaminate.original_places(text) == whole
+        some = [k for k in range(len(whole)) if rng.random() < 0.3]
+        assert decontaminate.original_places(text, some) == [whole[k] for k in some]
+    long = "Word  İx\n" * 1_200_000
+    tracemalloc.start()
+    got = decontaminate.original_places(long, [0, 4, 8, 9 * 1_200_000 - 2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 1), (4, 6), (8, 9), (len(long) - 2, len(long) - 1)]
+    assert peak < 1 << 20
+
+
 def test_decontaminate_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "The  QUICK brown\nfox jumps over it", 7), (3, "The  QUICK brown\nfox jumps over it", 7), (None, "ab", 1), (4, "x" * 200_000, 2)], "doc_id long, text string, distance int")
     items = spark.createDataFrame([(1, "quick brown fox jumps"), (2, None), (3, ""), (4, "quick brown fox jumps"), (5, "ab")], "item_id long, text string")
