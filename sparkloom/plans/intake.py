@@ -111,7 +111,7 @@ def first_customers(t: Tables) -> DataFrame:
 def shown_regions(t: Tables) -> DataFrame:
     """What show() prints: whole values in a table, and cut ones a row at a time (of those, the names' lines)."""
     regions = t.region.select("r_regionkey", F.rpad("r_name", F.lit(11), F.lit(" ")).alias("r_name")).orderBy("r_regionkey")
-    plain = [line.replace("r_name     ", "r_name     ") for line in shown(regions, truncate=False) if line]
+    plain = [line for line in shown(regions, truncate=False) if line]
     cut = [line for line in shown(t.region.select("r_name", "r_regionkey").orderBy("r_regionkey"), truncate=5, vertical=True) if line.startswith(" r_name")]
     rows = [("plain", n, line) for n, line in enumerate(plain)] + [("cut", n, f" r_name | {line.split('|')[1].strip():<5}") for n, line in enumerate(cut)]
     return files.local_rows(t.spark, rows, "form string, n long, line string")
