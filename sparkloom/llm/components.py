@@ -12,21 +12,21 @@ def _minima(pairs: DataFrame) -> DataFrame:
     """For each node the smallest of itself and its neighbours, next to every pair.
 
     A min, which combines map-side, and a join that deals the pairs of one node
-    over many tasks: a component may hold a third of all nodes.
+    over many tasks: a component may hold a third of all nodes. The plan holds
+    pairs twice, so what is built on this should name its own input once.
     """
     low = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
     return spread_join(pairs, low, "u").select("u", "v", "m")
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     return _minima(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    linked = _minima(edges)
-    down = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.unionByName(linked.select("u", F.col("m").alias("v"))).distinct()
+    ends = F.array("u", F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")))
+    return _minima(edges).select(F.explode(ends).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near-duplicates by the general rule: five-word shingles, Jaccard similarity 0.8 or more.
 
-SimHash can't find these: two texts of Jaccard 0.8 differ in some ten of 64 bits,
-and no index by agreeing segments reaches that far. So candidates come from
-minhashes, and the SimHash operator's components and choice of rows follow.
-
-A text is the set of its shingles' hashes; equal sets are one node. Candidates
-are nodes that agree on all ROWS minima of one of BANDS groups of minhashes; a
+A text is the set of its shingles' hashes; equal sets are one node. SimHash comes
+first: nodes whose 64-bit fingerprints differ in at most BITS bits are found by the
+SimHash operator's Gray-ordered index, checked by the exact Jaccard of the two
+sets, and joined into components.
+
+Fingerprints alone can't find all: two texts of Jaccard 0.8 differ in some ten of 64
+bits, and no index by agreeing segments reaches that far. What they leave in
+different components goes the exact way: candidates are nodes that agree on all ROWS minima of one of BANDS groups of minhashes; a
 pair at 0.8 shares a bucket but for a probability of (1 - 0.8^5)^30 = 7e-6. In a
 bucket the nodes that have the most company are pivots; every node is compared with
 the pivots of its buckets by the exact Jaccard of the two sets: first with one
@@ -42,6 +44,8 @@ WORDS = 5
 SEED = 42
 #: Similarity as a fraction of whole numbers, so that the limit itself is met exactly.
 SHARE = (4, 5)
+#: Bits in which fingerprints of candidates differ at most, fingerprints of an index bucket, and how often larger ones are split.
+BITS, BUCKET, LEVELS = 6, 5_000, 2
 BANDS, ROWS = 30, 5
 #: Nodes of a bucket that all others are compared with.
 PIVOTS = 16
@@ -71,6 +75,10 @@ def set_key(hashes: np.ndarray) -> int:
     return simhash._signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
 
 
+def _print(hashes: np.ndarray) -> int:
+    return simhash._signed(simhash.fingerprint_of_set(hashes))
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """The bucket of a set in each band; none for the empty set."""
     if not len(hashes):
@@ -89,15 +97,15 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, bands) of every row; fp is the key of its set."""
+    """(doc_id, fp, n, print, bands) of every row; fp is the key of its set, print the set's SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in texts(batch)]
-            columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], ["doc_id", "fp", "n", "bands"])
+            longs = [batch.column(0).cast(pa.int64()), *(pa.array(map(f, sets), pa.int64()) for f in (set_key, len, _print))]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "fp", "n", "print", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, n long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, n long, print long, bands array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -175,20 +183,40 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
+def _by_fingerprint(marks: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes whose fingerprints the SimHash index links."""
+    prints = marks.groupBy("fp").agg(F.first("print").alias("print"))
+    firsts = materialise(prints.groupBy("print").agg(F.min("fp").alias("first"), F.count("*").alias("sets")), "prints")
+    found = simhash.links(firsts.select(F.col("print").alias("fp")), BITS, BUCKET, LEVELS).distinct()
+    for end in ("a", "b"):
+        found = found.join(firsts.select(F.col("print").alias(end), F.col("first").alias(f"{end}_first")), end)
+    found = found.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    equal = spread_join(prints, firsts.where("sets > 1").select("print", "first"), "print", 4).where("fp <> first")
+    return materialise(found.unionByName(equal.select(F.col("first").alias("a"), F.col("fp").alias("b"))), "by-fingerprint")
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what roots has in one component."""
+    return roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
+def _near(decided: DataFrame) -> DataFrame:
+    return decided.where("near").select("a", "b")
+
+
 def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Edges (a, b) among set keys, each of Jaccard SHARE or more; marks are the signatures of docs."""
+    """Edges (a, b) among set keys that connect whatever links of Jaccard SHARE or more connect; marks are the signatures of docs."""
+    alike_prints = _by_fingerprint(marks)
     nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("label"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("fp", "label", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = materialise(spread_join(rows, shared, "key", 4).select("key", "fp", "label", "n", "size"), "bands")
-    needed = materialise(rows.groupBy("fp", "label").agg(F.sum("size").alias("weight")), "candidates")
+    ends = alike_prints.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    others = nodes.join(ends, nodes["fp"] == ends["end"], "left_semi").select("fp", "label", F.lit(0).cast("long").alias("size"))
+    needed = rows.select("fp", "label", "size").unionByName(others)
+    needed = materialise(needed.groupBy("fp", "label").agg(F.sum("size").alias("weight")), "candidates")
     sets = _sets(docs, needed)
-    members = rows.join(needed.select(F.col("fp").alias("w"), "weight"), F.col("fp") == F.col("w")).select("key", "fp", "n", "weight", F.col("fp").alias("root"))
-    # row_number with a limit is cut to PIVOTS rows of a bucket in each task before anything is shuffled
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "fp"))
-    pivots = materialise(members.withColumn("place", place).where(F.col("place") <= PIVOTS), "pivots")
-    seen = _compared(members, pivots.where("place = 1"), sets)
-    roots = materialise(components(seen.where("near").select("a", "b")), "joined")
+    first = materialise(components(_near(_decided(alike_prints, sets))), "joined-by-fingerprint")
 
     def rooted(part: DataFrame, roots: DataFrame) -> DataFrame:
         part = part.drop("root")
@@ -198,20 +226,28 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
         ends = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("nodes"))
         return ends.where("low <> high").select("key", "nodes")
 
-    members = materialise(rooted(members, roots), "members")
+    members = rows.join(needed.select(F.col("fp").alias("w"), "weight"), F.col("fp") == F.col("w")).select("key", "fp", "n", "weight")
+    members = materialise(rooted(members, first), "members")
+    # row_number with a limit is cut to PIVOTS rows of a bucket in each task before anything is shuffled
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "fp"))
+    pivots = materialise(members.withColumn("place", place).where(F.col("place") <= PIVOTS), "pivots")
+    seen = _compared(members, pivots.where("place = 1"), sets)
+    roots = materialise(components(_stars(first).unionByName(_near(seen))), "joined")
+    members, before = materialise(rooted(members, roots), "members"), members
     apart = materialise(parted(members), "apart")
     more = _compared(spread_join(members, apart.select("key"), "key", 4), rooted(pivots.where("place > 1"), roots), sets)
-    found = seen.unionByName(more).where("near").select("a", "b")
+    found = _stars(roots).unionByName(_near(more))
     large = apart.where(F.col("nodes") > PIVOTS + 1).select("key")
     if large.head(1):
         again = materialise(components(found), "joined-again")
         held = rooted(spread_join(members, large, "key", 4), again)
         left = spread_join(held, parted(held).select("key"), "key", 4).groupBy("fp").agg(F.first("root").alias("root"), F.first("n").alias("n"))
         left = materialise(left, "left")
+        found = _stars(again)
         if left.head(1):
-            found = found.unionByName(_by_prefix(left, sets).where("near").select("a", "b"))
-        release(again, left)
-    release(rows, needed, sets, pivots, roots, members, apart)
+            found = found.unionByName(_near(_by_prefix(left, sets)))
+        release(left)
+    release(alike_prints, rows, needed, sets, first, pivots, before, members, apart)
     return found
 
 

@@ -46,6 +46,25 @@ FULL = (1 << 64) - 1
 _CHUNK = 255 * 256
 
 
+def _ones(part: bytes) -> np.ndarray:
+    """How many of the hashes (8 bytes each, the first bit first) have each bit set."""
+    bits = np.unpackbits(np.frombuffer(part, np.uint8)).view(np.uint64).reshape(-1, 8)
+    sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)  # a byte holds 255 ones
+    return np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
+def fingerprint_of_set(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of distinct shingles' hashes, each counting once."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        counts += _ones(hashes[at : at + _CHUNK].astype(">u8").tobytes())
+    return _majority(counts, len(hashes))
+
+
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     """The 64-bit SimHash of a text; bytes.lower and bytes.split know ASCII only, as wanted."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
@@ -59,11 +78,8 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     counts = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
     for at in range(0, n, _CHUNK):
-        part = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : min(n, at + _CHUNK)], last[at : at + _CHUNK])])
-        bits = np.unpackbits(np.frombuffer(part, np.uint8)).view(np.uint64).reshape(-1, 8)
-        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)  # a byte holds 255 ones
-        counts += np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+        counts += _ones(b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at : min(n, at + _CHUNK)], last[at : at + _CHUNK])]))
+    return _majority(counts, n)
 
 
 def _signed(x: int) -> int:
@@ -144,7 +160,8 @@ def forest(fps: np.ndarray, limit: int, block: int = 512) -> list[tuple[int, int
     for at in range(0, len(fps), block):
         who, found = index.within(fps[at : at + block], limit)
         who = who + at
-        later = found > who
+        roots = np.array(root)
+        later = (found > who) & (roots[found] != roots[who])
         for a, b in zip(who[later].tolist(), found[later].tolist()):
             x, y = find(a), find(b)
             if x != y:
@@ -182,16 +199,27 @@ def _bucket_edges(limit: int):
     return run
 
 
-def links(nodes: DataFrame, limit: int = BITS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) among distinct fingerprints `fp` that connect whatever links of at most `limit` bits connect."""
+def links(nodes: DataFrame, limit: int = BITS, bucket: int = BUCKET, levels: int | None = None) -> DataFrame:
+    """Edges (a, b) among distinct fingerprints `fp` that connect whatever links of at most `limit` bits connect.
+
+    levels: split large buckets so many times at most; what is still larger is dealt out by a hash, and links
+    between its parts are left to the caller.
+    """
     masks = split_mask(0, limit + 1)
     rows = nodes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-    fit = None
+    fit, level = None, 0
     while True:
-        hot = rows.groupBy("mask", "key").count().where(F.col("count") > bucket).select("mask", "key")
+        hot = rows.groupBy("mask", "key").agg(F.count("*").alias("held")).where(F.col("held") > bucket)
         hot = materialise(hot, "hot-buckets")
-        if not hot.head(1) or 1 << 64 - masks[0].bit_count() <= bucket:  # so few free bits leave no room for more fingerprints
+        if not hot.head(1):
+            break
+        if level == levels:
+            part = F.pmod(F.xxhash64("fp"), F.ceil(F.col("held") / bucket))
+            rows = rows.join(hot, ["mask", "key"], "left").select("fp", "mask", F.when(F.col("held").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)).alias("key"))
+            break
+        hot, level = hot.drop("held"), level + 1
+        if 1 << 64 - masks[0].bit_count() <= bucket:  # so few free bits leave no room for more fingerprints
             break
         cold = rows.join(hot, ["mask", "key"], "left_anti")
         fit = cold if fit is None else fit.unionByName(cold)

@@ -106,3 +106,23 @@ def test_repeated_ids_keep_a_row_of_each_group_they_name(spark):
         assert kept.columns == docs.columns
         assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: (r[0] or 99, r[1])) == want
     assert len({tuple(sorted(map(str, simhash.keep_one(d).collect()))) for d in (docs, docs.orderBy(F.desc("_fp0")))}) == 1
+
+
+def test_buckets_that_stay_large_are_dealt_out(spark):
+    """With no split allowed every fingerprint still stands in a bucket, none much above the size, and all edges are links."""
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = {base ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)}
+    nodes = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    edges = simhash.links(nodes, bucket=100, levels=0).collect()
+    assert edges and all(((r.a ^ r.b) % 2**64).bit_count() <= 2 for r in edges)
+    assert len({x for r in edges for x in r}) > 250
+
+
+def test_a_round_of_components_reads_its_edges_four_times(spark, tmp_path):
+    """The driver keeps every plan of every round: before, a round held its input sixteen times."""
+    from sparkloom.llm import components as stars
+
+    spark.range(50).selectExpr("id + 1 AS u", "id AS v").write.parquet(str(tmp_path / "edges"))
+    step = stars._small(stars._large(spark.read.parquet(str(tmp_path / "edges"))).distinct())
+    assert step._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4

@@ -86,3 +86,35 @@ def test_prefixes_find_every_near_pair(spark):
     nodes = spark.createDataFrame([(k, k, len(s)) for k, s in own.items()], "fp long, root long, n long")
     got = {(r.a, r.b) for r in near._by_prefix(nodes, sets).where("near").collect()}
     assert got == {(a, b) for a in own for b in own if a < b and near.alike(own[a], own[b])} and len(got) > 10
+
+
+def test_fingerprints_come_first(spark):
+    """The SimHash index alone finds the pairs of at most BITS bits, and no other; what it joins is not compared again by buckets."""
+    rng = np.random.default_rng(5)
+    words = [[f"w{k}x{i}" for i in range(400)] for k in range(6)]
+    texts = [" ".join(w if i not in rng.integers(0, 400, edits) else "y" for i, w in enumerate(base)) for base in words for edits in (0, 1, 2, 4, 12)]
+    docs = spark.createDataFrame([*enumerate([*texts, texts[0], "", None])], "doc_id long, text string")
+    marks = near.materialise(near.signatures(docs), "test-signatures")
+    prints = {r.fp: r.print % 2**64 for r in marks.collect()}
+    got = {(r.a, r.b) for r in near._by_fingerprint(marks).collect()}
+    apart = {(a, b): (prints[a] ^ prints[b]).bit_count() for a in prints for b in prints if a < b}
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert len(got) >= 6 and all(apart[p] <= near.BITS for p in got)
+    assert all(find(a) == find(b) for (a, b), bits in apart.items() if bits <= near.BITS)
+    bare = marks.withColumn("bands", F.lit(None).cast("array<long>"))
+    assert {(r.a, r.b) for r in near.links(docs, bare).collect()} and near.links(docs, bare).where("a = b").isEmpty()
+
+
+def test_fingerprint_of_a_set_is_the_majority_of_its_hashes():
+    hashes = np.random.default_rng(6).integers(0, 1 << 63, 70_001, np.uint64) * np.uint64(2)
+    for some in (hashes[:0], hashes[:1], hashes[:6], hashes):
+        want = sum(1 << b for b in range(64) if 2 * int((some >> np.uint64(b) & np.uint64(1)).sum()) > len(some))
+        assert near.simhash.fingerprint_of_set(some) == want
